@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .mixing import op2_mixing
+from .ogg import op3_ogg
 from .sharding import op9_sharding
+from .simhash import op7_simhash
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_mixing": op2_mixing,
+    "op3_ogg": op3_ogg,
     "op4_line_dedup": op4_line_dedup,
+    "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
 }
 
