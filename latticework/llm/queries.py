@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .fingerprints import op1_fingerprints
+from .langid import op10_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op2_mixing
 from .ogg import op3_ogg
@@ -14,8 +16,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_ogg": op3_ogg,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 SQL = {"op4_line_dedup": OP4_SQL}
