@@ -10,6 +10,7 @@ from .mixing import op2_mixing
 from .ogg import op3_ogg
 from .sharding import op9_sharding
 from .simhash import op7_simhash
+from .unigram import op6_token_counts
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ogg": op3_ogg,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
