@@ -103,7 +103,8 @@ def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS
     members = linked.unionByName(own)
     least = members.groupBy("root").agg(F.min("_first").alias("_least"))
     moved = members.join(least, "root").select(F.col("fp").alias("_fp"), "_least")
-    ids = first.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_first").alias("component_id"))
+    # Kept as a table, so that the join below has nothing but two exchanges under it and its hot fingerprints can be split.
+    ids = cut(first.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_first").alias("component_id")))
     return rows.join(ids, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
