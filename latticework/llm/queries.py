@@ -11,6 +11,7 @@ from .ogg import op3_ogg
 from .sharding import op9_sharding
 from .simhash import op7_simhash
 from .unigram import op6_token_counts
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -20,8 +21,9 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
 
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op8_warc": OP8_SQL}
