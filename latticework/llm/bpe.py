@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, unwrapped, wrapped
 
 #: Characters in a chunk, and those that it has in common with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -126,23 +126,25 @@ def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
 def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` with ``bpe``: a struct of ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` bytes."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
-    size = F.coalesce(F.char_length(text), F.lit(0))
-    short = docs.where(size <= chunk).withColumn("bpe", encode_columns(F.col(text), path, pattern))
-    long = docs.where(size > chunk).withColumn("_key", F.sha2(F.col(text), 256))
-    once = long.select(F.col("_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    whole, own = wrapped(docs), F.col("_doc")[text]
+    size = F.coalesce(F.char_length(own), F.lit(0))
+    short = whole.where(size <= chunk).withColumn("bpe", encode_columns(own, path, pattern))
+    long = whole.where(size > chunk).withColumn("_key", F.sha2(own, 256))
+    once = long.select(F.col("_key").alias("key"), own.alias("text")).dropDuplicates(["key"])
     pieces = pieces_of(once, path, pattern, chunk, overlap)
     done = pieces.withColumn("bpe", encode_columns(F.col("piece"), path, pattern))
-    whole = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "bpe"))).alias("all"), F.bool_and(F.col("piece").isNotNull()).alias("met"))
+    parts = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "bpe"))).alias("all"), F.bool_and(F.col("piece").isNotNull()).alias("met"))
     joined = F.struct(
         F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + x["bpe"]["n_tokens"]).alias("n_tokens"),
         F.array_join(F.filter(F.transform("all", lambda x: x["bpe"]["ids"]), lambda s: F.length(s) > 0), ",").alias("ids"),
         # Pieces are cut between characters, so each is a text of its own.
         F.array_join(F.transform("all", lambda x: x["bpe"]["decoded"].cast("string")), "").cast("binary").alias("decoded"),
     )
-    met = whole.where("met").select("key", joined.alias("bpe"))
-    missed = whole.where("NOT met").select("key").join(once, "key").select("key", encode_columns(F.col("text"), path, pattern).alias("bpe"))
+    met = parts.where("met").select("key", joined.alias("bpe"))
+    missed = parts.where("NOT met").select("key").join(once, "key").select("key", encode_columns(F.col("text"), path, pattern).alias("bpe"))
     coded = met.unionByName(missed)
-    return short.unionByName(long.join(coded, F.col("_key") == F.col("key")).drop("_key", "key"))
+    out = short.unionByName(long.join(coded, F.col("_key") == F.col("key")).select("_doc", "bpe"))
+    return unwrapped(out, docs.columns, bpe=F.col("bpe"))
 
 
 def token_digests(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,14 @@ def power_of_two(n: float, most: int) -> int:
     while p < n and p < most:
         p *= 2
     return p
+
+
+def wrapped(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as the one column ``_doc``, so that no other name can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that wrapped() put into ``_doc``, some replaced or added."""
+    kept = [changed.get(c, F.col("_doc")[c]).alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(c) for c, v in changed.items() if c not in columns])

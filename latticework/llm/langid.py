@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, unwrapped, wrapped
 
 NGRAM = 5
 #: Characters of the training sample for each language, and the most languages.
@@ -180,10 +180,10 @@ def train_on_documents(docs: DataFrame) -> Filters:
 
 def known_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that are in none of the languages learned from them."""
-    answer = predict(docs.sparkSession, train_on_documents(docs), F.col("text"))
-    out = docs.withColumn("_answer", answer)
-    likely = (F.col("_answer.score") >= least) | (F.char_length("text") < MIN_CHARS)
-    return out.where((F.col("_answer.lang_pred") != UNKNOWN) & likely).drop("_answer")
+    text = F.col("_doc")["text"]
+    out = wrapped(docs).withColumn("answer", predict(docs.sparkSession, train_on_documents(docs), text))
+    likely = (F.col("answer.score") >= least) | (F.char_length(text) < MIN_CHARS)
+    return unwrapped(out.where((F.col("answer.lang_pred") != UNKNOWN) & likely), docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

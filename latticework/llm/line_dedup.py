@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let, table
+from .common import BLANKS, cut, let, table, unwrapped, wrapped
 
 #: A line is boilerplate if more than this share of its host's pages, and at least so many pages, contain it.
 RATIO, MIN_PAGES = 0.1, 5
@@ -50,22 +50,24 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text``, and their numbers in ``_lines`` and ``_dropped``."""
+    """``pages`` with boilerplate lines taken out of ``text``; ``_lines`` and ``_dropped`` count those there were and those that went."""
     found = cut(boilerplate(pages, host, text, ratio, min_pages).groupBy("host").agg(F.collect_list("digest").alias("_digests")).withColumnRenamed("host", "_host"))
     lines = found.agg(F.coalesce(F.sum(F.size("_digests")), F.lit(0))).first()[0]
     beside = F.broadcast(found) if lines <= BROADCAST_LINES else found
-    joined = pages.join(beside, F.col(host).eqNullSafe(F.col("_host")), "left")
+    doc = F.col("_doc")
+    joined = wrapped(pages).join(beside, doc[host].eqNullSafe(F.col("_host")), "left")
 
     def kept(split: Column) -> Column:
         keep = F.filter(split, lambda x: ~F.coalesce(F.array_contains("_digests", _digest(x)), F.lit(False)))
         return F.when(F.col("_digests").isNull(), split).otherwise(keep)
 
-    both = let(F.split(text, "\n", -1), lambda s: F.struct(F.size(s).alias("lines"), kept(s).alias("kept")))
-    out = joined.withColumn("_both", both)
-    known = F.col(text).isNotNull()
-    out = out.withColumn("_lines", F.when(known, F.col("_both.lines")).otherwise(0)).withColumn("_dropped", F.when(known, F.col("_both.lines") - F.size("_both.kept")).otherwise(0))
-    clean = F.when(F.col("_dropped") == 0, F.col(text)).otherwise(F.array_join("_both.kept", "\n"))
-    return out.withColumn(text, clean).drop("_host", "_digests", "_both")
+    both = let(F.split(doc[text], "\n", -1), lambda s: F.struct(F.size(s).alias("lines"), kept(s).alias("kept")))
+    out = joined.select("_doc", both.alias("_both"))
+    known = doc[text].isNotNull()
+    count = F.when(known, F.col("_both.lines")).otherwise(0)
+    dropped = F.when(known, F.col("_both.lines") - F.size("_both.kept")).otherwise(0)
+    clean = F.when(dropped == 0, doc[text]).otherwise(F.array_join("_both.kept", "\n"))
+    return unwrapped(out, pages.columns, **{text: clean, "_lines": count, "_dropped": dropped})
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, power_of_two, table, word_count
+from .common import cut, power_of_two, table, unwrapped, word_count, wrapped
 
 #: Weights by the sources' order, repeating; the mix's words by those there are; the most times that a source is read.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), Fraction(3, 2), 2
@@ -175,6 +175,30 @@ def mix(df: DataFrame, source: str, size: str, keys: list[str], weights: tuple[i
     return meet.select(*df.columns, "place", "row", "source_size", "target", "slot", F.col("_part.epoch").alias("epoch"), (lo - F.col("_begin")).alias("first"), words.alias("words"))
 
 
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` as often as the mix takes them.
+
+    A pass through a source gives a document if it takes at least half of its
+    words, and some; so texts stay whole. Rows that are equal in id, source and
+    text share what the mix takes of them as evenly as whole rows allow.
+    """
+    code = F.xxhash64(F.col(text))
+    light = cut(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), code.alias("code")))
+    taken = mix(light, "source", "size", ["id", "size", "code"]).groupBy("place", "row", "id", "source", "size", "code", "epoch").agg(F.sum("words").alias("words"))
+    whole = (F.col("words") > 0) & (2 * F.col("words") >= F.col("size"))
+    copies = taken.groupBy("id", "source", "code").agg(F.sum(whole.cast("int")).alias("copies"), F.count_distinct("row").alias("rows")).where("copies > 0")
+    copies = cut(copies)
+    doc = F.col("_doc")
+    met = wrapped(docs).join(copies, doc[doc_id].eqNullSafe(F.col("id")) & doc[source].eqNullSafe(F.col("source")) & (F.xxhash64(doc[text]) == F.col("code")))
+    out = met.where("rows = 1").select("_doc", F.col("copies").alias("times"))
+    if not copies.where("rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("id", "source", "code").orderBy(F.lit(0)))
+        share = F.expr("copies div rows") + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")
+        shared = met.where("rows > 1").withColumn("nth", nth).select("_doc", share.alias("times"))
+        out = out.unionByName(shared).where("times > 0")
+    return unwrapped(out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs.columns)
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, repeats counted."""
     docs = table(spark, sf_dir, "documents")

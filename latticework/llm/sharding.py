@@ -16,8 +16,8 @@ Defined results:
   0 without gaps in each shard; reruns give the same result;
 * null keys and null texts are dealt like others; rows that are equal in all key
   columns are interchangeable; an empty table gives no rows;
-* other columns are kept, also under names that the operator uses itself, which
-  all begin with ``_shard_``.
+* other columns are kept, whatever their names; columns named ``shard`` or
+  ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import power_of_two, table
+from .common import power_of_two, table, unwrapped, wrapped
 
 SHARDS, SEED = 40, 20
 #: Rows that a logical partition holds on average, and the most partitions.
@@ -65,8 +65,9 @@ def uniform_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: i
     total = df.count()
     parts = power_of_two(total / PART_ROWS, MAX_PARTS)
     pieces = power_of_two(total / shards / PIECE_ROWS, MAX_PIECES)
-    names = [F.col(k) for k in keys]
-    rows = df.withColumn("_shard_part", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(parts)).cast("int"))
+    rows = wrapped(df).select("_doc", *[F.col("_doc")[k].alias(f"key_{i}") for i, k in enumerate(keys)])
+    names = [F.col(f"key_{i}") for i in range(len(keys))]
+    rows = rows.withColumn("_shard_part", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(parts)).cast("int"))
     rows = rows.withColumn("_shard_first", F.xxhash64(F.lit(seed + 1), *names)).withColumn("_shard_last", F.xxhash64(F.lit(seed + 2), *names))
 
     found = {r[0]: r[1] for r in rows.groupBy("_shard_part").count().collect()}
@@ -83,7 +84,7 @@ def uniform_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: i
     dealt = dealt.join(F.broadcast(matrix), F.col("_shard_part") == F.col("_shard_p"))
     shard = F.size(F.filter("_shard_ends", lambda e: e <= F.col("_shard_n"))).cast("int")
     piece = F.shiftrightunsigned(F.col("_shard_last"), 64 - (pieces.bit_length() - 1)) if pieces > 1 else F.lit(0)
-    dealt = dealt.select(*df.columns, shard.alias("shard"), piece.cast("int").alias("_shard_piece"), "_shard_last")
+    dealt = dealt.select("_doc", *names, shard.alias("shard"), piece.cast("int").alias("_shard_piece"), "_shard_last")
 
     # Permute again: pieces of a shard in the order of the second hash, after the rows of the pieces before.
     sums = dealt.groupBy("shard", "_shard_piece").agg(F.count(F.lit(1)).alias("_shard_rows"))
@@ -91,7 +92,7 @@ def uniform_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: i
     starts = sums.select("shard", "_shard_piece", F.coalesce(F.sum("_shard_rows").over(before), F.lit(0)).alias("_shard_start"))
     inside = Window.partitionBy("shard", "_shard_piece").orderBy("_shard_last", *names)
     placed = dealt.withColumn("_shard_n", F.row_number().over(inside) - 1).join(starts, ["shard", "_shard_piece"])
-    return placed.select(*df.columns, "shard", (F.col("_shard_start") + F.col("_shard_n")).cast("long").alias("slot"))
+    return unwrapped(placed, df.columns, shard=F.col("shard"), slot=(F.col("_shard_start") + F.col("_shard_n")).cast("long"))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, unwrapped, wrapped
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -119,11 +119,13 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = cut(docs.select(rank.alias("rank"), simhash(F.col(text)).alias("fp")))
     kept = with_components(rows, "rank", radius).where(F.col("rank") == F.col("component_id")).groupBy("rank").agg(F.count(F.lit(1)).alias("_rows"))
     kept = cut(kept.select(F.col("rank.id").alias("_id"), F.col("rank.code").alias("_code"), "_rows"))
-    met = docs.withColumn("_own", code).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_code")))
-    once = met.where("_rows = 1").select(*docs.columns)
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    return once.unionByName(met.where("_rows > 1").dropDuplicates(["_id", "_code"]).select(*docs.columns))
+    whole = wrapped(docs)
+    own = F.xxhash64(F.coalesce(F.col("_doc")[text], F.lit("")))
+    met = whole.join(kept, F.col("_doc")[doc_id].eqNullSafe(F.col("_id")) & (own == F.col("_code")))
+    once = met.where("_rows = 1").select("_doc")
+    if not kept.where("_rows > 1").isEmpty():
+        once = once.unionByName(met.where("_rows > 1").dropDuplicates(["_id", "_code"]).select("_doc"))
+    return unwrapped(once, docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
