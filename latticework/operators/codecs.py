@@ -126,7 +126,7 @@ def apply_filters(data: bytes, filters: list[Filter]) -> bytes:
         elif f.name == "fletcher32":
             data = data + fletcher(data).to_bytes(4, "little")
         elif f.name == "lzf":
-            data = min(lzf_pack(data), data, key=len)
+            data = min(data, lzf_pack(data), key=len)
         else:
             raise FilterError(f"{f.name} can't be written")
     return data

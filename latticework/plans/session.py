@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -18,10 +19,12 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        copy = Path(folder) / "tree" / package.name
-        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy.parent))
+    # The driver serves this one file as long as the application runs.
+    folder = str(Path(tempfile.mkdtemp(prefix="package")).resolve())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = Path(folder) / "tree" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy.parent))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -635,12 +635,12 @@ def hex_lines(spark, sf_dir):
     return hexdump(files, 0, 1 << 20).select(F.col("path").cast("long").alias("id"), F.col("at").cast("long").alias("at"), "hex")
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_partkey * 50 AS lo, p_partkey * 50 + p_size AS hi FROM part)
+@query("""WITH a AS (SELECT p_partkey AS id, p_partkey * 30 AS lo, p_partkey * 30 + p_size AS hi FROM part)
 SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON x.id < y.id AND y.lo < x.hi AND x.lo < y.hi""")
 def overlapping_blocks(spark, sf_dir):
     """Allocated ranges that overlap a later one: each is dealt to the fixed-size bins that it covers."""
     p = F.col("p_partkey")
-    ranges = table(spark, sf_dir, "part").select(p.alias("id"), (p * 50).alias("lo"), (p * 50 + F.col("p_size")).alias("hi")).where("hi > lo")
+    ranges = table(spark, sf_dir, "part").select(p.alias("id"), (p * 30).alias("lo"), (p * 30 + F.col("p_size")).alias("hi")).where("hi > lo")
     binned = ranges.withColumn("bin", F.explode(F.sequence(F.expr("lo div 4096"), F.expr("(hi - 1) div 4096"))))
     x, y = binned.alias("x"), binned.alias("y")
     hit = F.expr("x.bin = y.bin AND x.id < y.id AND y.lo < x.hi AND x.lo < y.hi AND x.bin = greatest(x.lo, y.lo) div 4096")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +53,7 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
             for file, text in zip(pdf["file"], pdf["value"], strict=True):
                 for d in parse_dump(text):
                     numbers = [v for v in d["values"] if not isinstance(v, str)]
-                    import pandas as pd
-
-                    yield pd.DataFrame({"file": file, "name": d["name"], "type": d["type"], "dims": [d["dims"]] * len(numbers), "n": range(len(numbers)), "value": numbers})
+                    if numbers:
+                        yield pd.DataFrame({"file": file, "name": d["name"], "type": d["type"], "dims": [d["dims"]] * len(numbers), "n": range(len(numbers)), "value": numbers})
 
     return files.mapInPandas(rows, "file string, name string, type string, dims array<bigint>, n bigint, value double")
