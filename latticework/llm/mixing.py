@@ -43,6 +43,8 @@ SEED = 2
 #: Documents in a piece of a source's order, on average over all sources, and the most pieces.
 PIECE_ROWS, MAX_PIECES = 256, 1 << 16
 MAX_SOURCES = 2_000
+#: Slots in one task, and the most sources that are told apart by compiled comparisons.
+SLOTS_TOGETHER, TREE = 1 << 16, 200
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, epochs: int = EPOCHS) -> list[Fraction]:
@@ -96,6 +98,14 @@ def rank_below(n: Column, point: Column, a: Column, bits: int) -> Column:
     return out
 
 
+def _search(point: Column, ends: list[int], first: int) -> Column:
+    """``first`` plus how many of the sorted ``ends`` aren't above ``point``, by halving; compiled, unlike a lambda."""
+    if len(ends) <= 1:
+        return F.lit(first)
+    half = len(ends) // 2
+    return F.when(point < ends[half - 1], _search(point, ends[:half], first)).otherwise(_search(point, ends[half:], first + half))
+
+
 def schedule(spark, taken: list[int], block: int = BLOCK) -> DataFrame:
     """(slot, place, block, words): the order in which sources, by place in ``taken``, give their blocks.
 
@@ -109,11 +119,14 @@ def schedule(spark, taken: list[int], block: int = BLOCK) -> DataFrame:
         if n:
             edges.append((i, at, at + n, t))
         at += n
-    slots = spark.range(1 << bits).select(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point")).where(F.col("point") < total)
+    slots = spark.range(0, 1 << bits, 1, max(1, (1 << bits) // SLOTS_TOGETHER)).select(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point")).where(F.col("point") < total)
     if not edges:
         return slots.select("slot", F.lit(0).alias("place"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("words")).limit(0)
-    ends = F.array(*[F.lit(e[2]).cast("long") for e in edges])
-    found = slots.withColumn("which", F.size(F.filter(ends, lambda e: e <= F.col("point"))))
+    if len(edges) <= TREE:
+        which = _search(F.col("point"), [e[2] for e in edges], 0)
+    else:
+        which = F.size(F.filter(F.array(*[F.lit(e[2]).cast("long") for e in edges]), lambda e: e <= F.col("point")))
+    found = slots.withColumn("which", which)
     pick = {k: F.get(F.array(*[F.lit(e[j]).cast("long") for e in edges]), F.col("which")) for j, k in enumerate(("place", "lo", "hi", "all"))}
     found = found.select("slot", "point", *[c.alias(k) for k, c in pick.items()])
     rank = rank_below(F.col("slot"), F.col("point"), F.col("hi"), bits) - rank_below(F.col("slot"), F.col("point"), F.col("lo"), bits)
