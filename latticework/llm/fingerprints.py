@@ -120,7 +120,8 @@ def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFr
     rows = df.withColumn("_range", near)
     order = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), spot, F.col(tie))
     seen = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_n", F.row_number().over(order))
-    heads = seen.where("_n = 1").select(F.col("_range").alias("_of"), F.struct(*columns).alias("_head"))
+    # Not "_n = 1", which would be pushed below the exchange: so both branches read the one that is there.
+    heads = seen.where("abs(_n) = 1").select(F.col("_range").alias("_of"), F.struct(*columns).alias("_head"))
 
     # The next lower range that has rows: within groups of 512 ranges, then over the groups.
     ranges = rows.select("_range").distinct().withColumn("_group", F.floor(F.col("_range") / 512))
