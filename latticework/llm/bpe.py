@@ -23,11 +23,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, unwrapped, wrapped
+from .common import small_batches, table, unwrapped, wrapped
 
 #: Characters in a chunk, and those that it has in common with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -83,6 +83,7 @@ def boundaries(chunk: str, pattern: str, last: bool) -> list[int]:
 
 def encode_columns(text: Column, path: str, pattern: str) -> Column:
     """struct(n_tokens, ids, decoded) of a text column, each text in one go."""
+    small_batches(SparkSession.active())
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:

@@ -12,6 +12,8 @@ BLANKS = " \t\n\x0b\f\r"
 #: One word, and what stands between words, as regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows and bytes that Python workers get at once.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -58,6 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes from now on, so that Python's share of memory stays small however long texts are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def power_of_two(n: float, most: int) -> int:
     """The smallest power of two that is at least ``n``, within 1 and ``most``."""
     p = 1

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, unwrapped, wrapped
+from .common import small_batches, table, unwrapped, wrapped
 
 NGRAM = 5
 #: Characters of the training sample for each language, and the most languages.
@@ -137,6 +137,7 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int
     languages = [r[0] for r in sizes]
     if not languages:
         return Filters([], [])
+    small_batches(labelled.sparkSession)
     part = F.lit(0.0)
     for r in sizes:
         part = F.when(F.col(lang) == r[0], min(1.0, sample_chars / max(1, r["chars"]))).otherwise(part)
@@ -158,6 +159,7 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int
 
 def predict(spark: SparkSession, filters: Filters, text: Column) -> Column:
     """struct(lang_pred, score) of a text column."""
+    small_batches(spark)
     # The filter's size is a parameter: SLOTS times at most 8 bytes.
     shared = spark.sparkContext.broadcast(filters)
 

@@ -25,11 +25,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 RATE, PACKET, STREAMS, SEGMENTS = 8000, 1024, 2, 255
 #: Payloads are filled up to a multiple of this many bytes.
@@ -183,11 +183,13 @@ def _read(media: pa.Array) -> pa.Array:
 
 def to_ogg(payload: Column) -> Column:
     """A binary column as Ogg media."""
+    small_batches(SparkSession.active())
     return _write(payload)
 
 
 def from_ogg(media: Column) -> Column:
     """struct(payload, feature) of an Ogg column, read back and verified."""
+    small_batches(SparkSession.active())
     return _read(media)
 
 

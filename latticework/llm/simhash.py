@@ -27,11 +27,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, unwrapped, wrapped
+from .common import cut, small_batches, table, unwrapped, wrapped
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -67,6 +67,7 @@ def _simhash(data: pa.Array) -> pa.Array:
 
 def simhash(text: Column) -> Column:
     """The fingerprint as a signed long."""
+    small_batches(SparkSession.active())
     return _simhash(text.cast("binary"))
 
 

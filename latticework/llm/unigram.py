@@ -28,11 +28,11 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -112,6 +112,7 @@ def counter(path: str) -> CountViterbi:
 def token_count(text: Column, path: str | None = None) -> Column:
     """The number of pieces of a text column."""
     path = path or default_model()
+    small_batches(SparkSession.active())
 
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:

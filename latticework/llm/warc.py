@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_folder, table
+from .common import cut, shared_folder, small_batches, table
 
 LEAST = 1000
 #: Every record has the same date, so that equal inputs make equal archives.
@@ -82,6 +82,7 @@ def new_archive(spark: SparkSession) -> str:
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> None:
     """Writes ``path/headers`` (digest, header) and ``path/blobs`` (digest, packed payload)."""
+    small_batches(pages.sparkSession)
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     captures = cut(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.sha2(data, 256).alias("digest"), F.sha1(data).alias("sha1"), F.octet_length(data).cast("long").alias("size")))
     # Each payload's largest id, and how many rows have both: one, unless rows repeat.
@@ -122,6 +123,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     length or a missing blob raises an error. Columns that aren't asked for, such
     as payloads, don't take part in the join.
     """
+    small_batches(spark)
     payload = _unpacked(F.col("packed"))
     blobs = spark.read.parquet(f"{path}/blobs").select(F.col("digest").alias("_digest"), payload.alias("payload"))
     blobs = blobs.select("_digest", "payload", F.sha2("payload", 256).alias("_strong"), F.sha1("payload").alias("_sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
