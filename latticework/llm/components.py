@@ -32,11 +32,13 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are kept as tables: then a join has nothing but exchanges under it, and a hub's links can be split.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # Larger neighbours of u go to the smallest node around u.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Smaller neighbours of u, and u, go to the smallest of them.
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(now)

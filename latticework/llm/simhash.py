@@ -102,7 +102,8 @@ def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS
     # The roots are fingerprints themselves, and not among the linked nodes.
     own = first.join(groups.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select("fp", "_first", F.col("fp").alias("root"))
     members = linked.unionByName(own)
-    least = members.groupBy("root").agg(F.min("_first").alias("_least"))
+    members = cut(members)
+    least = cut(members.groupBy("root").agg(F.min("_first").alias("_least")))
     moved = members.join(least, "root").select(F.col("fp").alias("_fp"), "_least")
     # Kept as a table, so that the join below has nothing but two exchanges under it and its hot fingerprints can be split.
     ids = cut(first.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_first").alias("component_id")))
