@@ -645,3 +645,16 @@ def overlapping_blocks(spark, sf_dir):
     x, y = binned.alias("x"), binned.alias("y")
     hit = F.expr("x.bin = y.bin AND x.id < y.id AND y.lo < x.hi AND x.lo < y.hi AND x.bin = greatest(x.lo, y.lo) div 4096")
     return x.join(y, hit).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+@query(f"WITH {EMB} SELECT r AS i0, c AS i1, v FROM emb WHERE r BETWEEN 30 AND 79 AND c BETWEEN 8 AND 40 AND (c - 8) % 4 < 1")
+def array_file_select(spark, sf_dir):
+    """The embeddings written to an array file in filtered chunks, and a selection of them read from it."""
+    from .operators.codecs import Filter
+    from .sources import h5
+
+    n, path = rows_of(spark, sf_dir), f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}.h5"
+    with h5.created(path) as file:
+        file.group("/vectors")
+        h5.write_cells(file, "/vectors/all", cells(spark, sf_dir), "float64", (n, WIDTH), (250, 16), ("r", "c"), filters=[Filter("deflate", 4), Filter("shuffle", 8), Filter("fletcher32")])
+    return h5.cells(spark, path, "/vectors/all", Hyperslab((30, 8), (50, 9), (1, 4)))
