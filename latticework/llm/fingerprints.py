@@ -102,8 +102,8 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
 
-def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
-    """``df`` with ``next``, a struct of ``columns`` of the row after it in descending ``key``.
+def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``derived`` columns, and ``next``, a struct of ``columns`` and these of the row after it in descending ``key``.
 
     Null keys come last, in the order of a hash of ``tie``; ties go by that hash
     and then ``tie`` itself. After the last row comes the first. The rows are
@@ -119,9 +119,13 @@ def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFr
     near = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)), -1 - F.floor(spot * parts / float(1 << 32))).cast("long")
     rows = df.withColumn("_range", near)
     order = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), spot, F.col(tie))
-    seen = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_n", F.row_number().over(order))
-    # Not "_n = 1", which would be pushed below the exchange: so both branches read the one that is there.
-    heads = seen.where("abs(_n) = 1").select(F.col("_range").alias("_of"), F.struct(*columns).alias("_head"))
+    derived = derived or {}
+    names = [*columns, *derived]
+    # Single columns, as a struct of them would go through the shuffle beside them.
+    ahead = {f"_next_{c}": F.lead(c).over(order) for c in names} | {"_more": F.lead(F.lit(True)).over(order)}
+    seen = rows.withColumns(derived).withColumns(ahead)
+    # Few rows are first in their range: they are found before anything is derived from them.
+    heads = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").withColumns(derived).select(F.col("_range").alias("_of"), F.struct(*names).alias("_head"))
 
     # The next lower range that has rows: within groups of 512 ranges, then over the groups.
     ranges = rows.select("_range").distinct().withColumn("_group", F.floor(F.col("_range") / 512))
@@ -132,14 +136,14 @@ def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFr
     links = inside.join(tops, "_group").select(F.col("_range"), F.coalesce("_below", "_then").alias("_of"))
 
     follow = links.join(heads, "_of").select("_range", "_head")
-    return seen.join(follow, "_range", "left").withColumn("next", F.coalesce("_next", "_head")).drop("_range", "_next", "_n", "_head")
+    found = F.when(F.col("_more"), F.struct(*[F.col(f"_next_{c}").alias(c) for c in names])).otherwise(F.col("_head"))
+    return seen.join(follow, "_range", "left").withColumn("next", found).drop("_range", "_head", *ahead)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and the likeness to it and to the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fingerprint", fingerprint(F.col("text")))
-    rows = cyclic_next(docs, "doc_id", ["text", "fingerprint"], "text")
+    rows = cyclic_next(docs, "doc_id", ["text"], "text", {"fingerprint": fingerprint(F.col("text"))})
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - half), F.substring(F.col("next")["text"], F.lit(1), half))
