@@ -153,3 +153,32 @@ def metrics(decided: DataFrame) -> DataFrame:
 def lazy_due(underfull: Column, nodes: Column, since_s: Column, ratio: float = 0.05, wait_s: float = WINDOW_S) -> Column:
     """Whether a batch is due: enough underfull nodes, or time."""
     return (F.when(nodes > 0, underfull / nodes).otherwise(0.0) >= ratio) | (since_s >= wait_s)
+
+
+#: What a change of mode does, by the modes before and after it: fixed values.
+TRANSITIONS = {
+    ("none", "lazy"): "enable lazy",
+    ("none", "incremental"): "enable lazy, enable incremental, start background",
+    ("lazy", "incremental"): "enable incremental, start background",
+    ("lazy", "none"): "disable",
+    ("incremental", "lazy"): "stop background",
+    ("incremental", "none"): "stop background, disable",
+}
+
+
+def transition(before: Column, after: Column) -> Column:
+    """The steps of a change of mode; null if the mode stays."""
+    pairs = [x for (a, b), steps in TRANSITIONS.items() for x in (F.lit(f"{a}>{b}"), F.lit(steps))]
+    return F.try_element_at(F.create_map(*pairs), F.concat_ws(">", before, after))
+
+
+def transitions(kept: DataFrame, key: str) -> DataFrame:
+    """The changes of mode (key, us, before, after, steps) in a history of kept modes; every key begins with none."""
+    before = F.coalesce(F.lag("kept").over(Window.partitionBy(key).orderBy("us")), F.lit("none"))
+    changed = kept.withColumn("before", before).where("before <> kept")
+    return changed.select(key, "us", "before", F.col("kept").alias("after"), transition(F.col("before"), F.col("kept")).alias("steps"))
+
+
+def drain_seconds(left: Column, drained: Column, session_s: float = 0.1, every_s: float = 5.0) -> Column:
+    """Seconds until all nodes are handled, if each session handles as many as the last; null if that handled none."""
+    return F.when(left <= 0, 0.0).when(drained > 0, left / drained * (session_s + every_s))

@@ -537,7 +537,7 @@ def _hourly(spark, sf_dir) -> DataFrame:
     return workload.decide(rows)
 
 
-@query(f"""WITH RECURSIVE {_EV}, h AS (SELECT seq, key % 7 AS key, date_trunc('hour', ts) AS ts, op, size FROM ev),
+_WALK = f"""WITH RECURSIVE {_EV}, h AS (SELECT seq, key % 7 AS key, date_trunc('hour', ts) AS ts, op, size FROM ev),
 g AS (SELECT key, ts, count(*) * 100 AS n, avg((op = 'read')::INT) AS read_ratio, avg((op = 'write')::INT) AS write_ratio, avg((op = 'delete')::INT) AS delete_ratio, arg_max(size, (ts, seq)) AS size, count(*) >= 10 AS burst FROM h GROUP BY key, ts),
 {_DECIDE},
 o AS (SELECT key, epoch_us(ts) AS us, safe, confidence < 0.7 AS gated, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM s),
@@ -548,12 +548,28 @@ walk(key, i, us, safe, kept, last_us, last_mode) AS (
   CASE WHEN NOT o.gated AND w.last_us IS NOT NULL AND o.us - w.last_us < 10800000000 AND o.safe <> w.last_mode THEN w.last_mode ELSE o.safe END,
   CASE WHEN o.gated OR (w.last_us IS NOT NULL AND o.us - w.last_us < 10800000000 AND o.safe <> w.last_mode) THEN w.last_us ELSE o.us END,
   CASE WHEN o.gated OR (w.last_us IS NOT NULL AND o.us - w.last_us < 10800000000 AND o.safe <> w.last_mode) THEN w.last_mode ELSE o.safe END
- FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1)
-SELECT key, us, safe, kept FROM walk WHERE i > 0""")
+ FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1)"""
+
+
+@query(f"{_WALK} SELECT key, us, safe, kept FROM walk WHERE i > 0")
 def workload_hysteresis(spark, sf_dir):
     return workload.hysteresis(_hourly(spark, sf_dir), "key", 3 * 3600)
 
 
+@query(f"""{_WALK}, b AS (SELECT key, us, coalesce(lag(kept) OVER (PARTITION BY key ORDER BY us), 'none') AS before, kept AS after FROM walk WHERE i > 0)
+SELECT key, us, before, after, CASE before || '>' || after WHEN 'none>lazy' THEN 'enable lazy' WHEN 'none>incremental' THEN 'enable lazy, enable incremental, start background'
+ WHEN 'lazy>incremental' THEN 'enable incremental, start background' WHEN 'lazy>none' THEN 'disable' WHEN 'incremental>lazy' THEN 'stop background' ELSE 'stop background, disable' END AS steps
+FROM b WHERE before <> after""")
+def workload_transitions(spark, sf_dir):
+    return workload.transitions(workload_hysteresis(spark, sf_dir), "key")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size <= 0 THEN 0.0 WHEN p_partkey % 7 > 0 THEN round(p_size / (p_partkey % 7) * 5.1, 6) END AS seconds FROM part")
+def drain_seconds(spark, sf_dir):
+    p = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(p.alias("id"), F.round(workload.drain_seconds(F.col("p_size"), p % 7), 6).alias("seconds"))
+
+
 @query(f"""WITH {_EV}, {_BY_DAY} SELECT count(*)::BIGINT AS evaluations, sum(n)::BIGINT AS operations, round(avg(confidence), 4) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
 {", ".join(f"sum((safe = '{m}')::INT)::BIGINT AS mode_{m}" for m in ("none", "lazy", "incremental"))},
 {", ".join(f"sum((workload = '{w}')::INT)::BIGINT AS workload_{w}" for w in ("Unknown", "BatchDeletion", "AppendOnly", "FrequentWrites", "ReadHeavy", "MixedRW"))},
@@ -658,3 +674,13 @@ def array_file_select(spark, sf_dir):
         file.group("/vectors")
         h5.write_cells(file, "/vectors/all", cells(spark, sf_dir), "float64", (n, WIDTH), (250, 16), ("r", "c"), filters=[Filter("deflate", 4), Filter("shuffle", 8), Filter("fletcher32")])
     return h5.cells(spark, path, "/vectors/all", Hyperslab((30, 8), (50, 9), (1, 4)))
+
+
+@query("SELECT '/v' AS path, 'float64, 2D array [' || count(*) || ' x 64], chunked [100 16]' AS info FROM embeddings")
+def object_info(spark, sf_dir):
+    """What a listing says of a stored dataset, without reading its cells."""
+    from .sources.container import Container
+
+    box = Container.create(spark, f"{shared_folder(spark)}/container-{uuid.uuid4().hex}")
+    box.write_dataset("/v", cells(spark, sf_dir), "float64", (rows_of(spark, sf_dir), WIDTH), ("r", "c"), chunk=(100, 16))
+    return box.info()

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import spark_type
+from ..functions.shapes import describe
 from ..functions.strings import external_file_problem, path_problem
 from ..operators import arrays, catalog
+from ..operators.iterate import ChunkIterator
 from ..plans.selection import Hyperslab, select
 
 OBJECTS = "path string, parent string, name string, kind string, object_id bigint, dtype string, dims array<bigint>, maxdims array<bigint>, chunk array<bigint>"
@@ -158,6 +160,27 @@ class Container:
         row = self.spark.createDataFrame([(path, kind, target_path, target_file)], LINKS)
         self._commit(links=self.links.unionByName(row))
 
+    def add_linked_group(self, path: str, targets: dict[str, str]) -> None:
+        """A group with hard links to existing objects, by name; however many there are."""
+        wanted = self.spark.createDataFrame([(t,) for t in targets.values()] or [("/",)], "path string")
+        if not wanted.join(self.objects, "path", "left_anti").isEmpty():
+            raise ValueError("a link's target doesn't exist")
+        self.add_group(path)
+        rows = self.spark.createDataFrame([(f"{path}/{name}", "hard", to, None) for name, to in targets.items()], LINKS)
+        self._commit(links=self.links.unionByName(rows))
+
+    def chunks(self, path: str, coords: Sequence[str], cancelled=None) -> ChunkIterator:
+        """A cursor over a dataset's chunks; one that isn't chunked is a single chunk."""
+        row = self._found(path)
+        if row is None or row.kind != "dataset":
+            raise KeyError(path)
+        return ChunkIterator(self.cells(path), coords, row.dims, row.chunk or row.dims, cancelled)
+
+    def info(self) -> DataFrame:
+        """What a listing says of each dataset: ``path``, ``info``."""
+        layout = F.when(F.col("chunk").isNull(), "contiguous").otherwise(F.concat(F.lit("chunked ["), F.array_join(F.col("chunk").cast("array<string>"), " "), F.lit("]")))
+        return self.objects.where("kind = 'dataset'").select("path", F.concat_ws(", ", "dtype", describe(F.col("dims")), layout).alias("info"))
+
     def set_attribute(self, path: str, name: str, value) -> None:
         """Adds or replaces an attribute; its type is that of the value."""
         if self._found(path) is None:

@@ -59,3 +59,8 @@ def drained(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def start_loop(decisions: DataFrame, apply, checkpoint: str, every: str = "5 minutes"):
+    """Evaluates a stream of decisions again and again: ``apply(batch, number)`` gets what is new each time."""
+    return decisions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

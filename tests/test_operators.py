@@ -117,6 +117,17 @@ def test_steady_stream_equals_batch(spark, tmp_path):
     assert [r.kept for r in want.orderBy("us").collect()] == ["lazy", "lazy", "none", "none", "lazy"]
 
 
+def test_loop(spark, tmp_path):
+    from latticework.streaming.workload import start_loop
+
+    spark.range(5).write.parquet(str(tmp_path / "d"))
+    seen = []
+    query = start_loop(spark.readStream.schema("id long").parquet(str(tmp_path / "d")), lambda batch, n: seen.append(batch.count()), str(tmp_path / "c"), "1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert sum(seen) == 5
+
+
 def test_container(spark, tmp_path):
     box = Container.create(spark, str(tmp_path / "c"))
     box.add_group("/g")
@@ -134,6 +145,19 @@ def test_container(spark, tmp_path):
     assert box.attribute("/g/d", "unit") == ["a", "b"] and box.attributes.count() == 1
     got = box.select("/g/d", Hyperslab((1, 2), (4, 3), (5, 10)), ("i", "j"))
     assert sorted(r.v for r in got.collect()) == [30.0 * i + j for i in (1, 6, 11, 16) for j in (2, 12, 22)]
+    box.add_linked_group("/many", {f"d{i}": "/g/d" for i in range(12)})
+    assert catalog.reference_counts(box.objects, box.links).where("refs = 14").count() == 1
+    steps = []
+    chunks = box.chunks("/g/d", ("i", "j"))
+    chunks.on_progress = lambda done, total: steps.append((done, total))
+    seen = {at: (rows.count(), rows.agg(F.min("v")).first()[0]) for at, rows in chunks}
+    assert seen == {(a, b): (100, 300.0 * a + 10 * b) for a in range(2) for b in range(3)}
+    assert steps[-1] == (6, 6) and chunks.progress == 1.0 and list(chunks) == []
+    chunks.reset()
+    assert next(iter(chunks))[0] == (0, 0) and chunks.extents((1, 2)) == (10, 10)
+    with pytest.raises(InterruptedError):
+        list(box.chunks("/g/d", ("i", "j"), lambda: True))
+    assert box.info().first().info == "float64, 2D array [20 x 30], chunked [10 10]"
     box.resize("/g/d", (40, 30))
     box.compact("/g/d")
     assert box.cells("/g/d").count() == 600
