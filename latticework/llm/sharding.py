@@ -97,7 +97,8 @@ def uniform_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: i
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts are one apart at most."""
-    text = F.col("text").cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    # A null text has no bytes.
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = uniform_shards(docs, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
