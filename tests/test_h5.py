@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
+from latticework.functions.checksums import lookup3
 from latticework.operators.codecs import Filter
 from latticework.plans.selection import Hyperslab
 from latticework.sources import h5
@@ -133,3 +134,41 @@ def test_old_structures():
     f = H5File.of(bytes(out))
     assert [(p, k) for p, k, _ in f.walk()] == [("/", "group"), ("/data", "dataset"), ("/soft", "soft")]
     assert f.values(f.find("/soft")).tolist() == [-1, 2, 300] and f.type_of(f.find("/data")).big
+
+
+def test_dense_links():
+    """A group whose links lie in a fractal heap of two direct blocks, named by an index of two levels."""
+    u = lambda v, n: v.to_bytes(n, "little")
+    out, none = bytearray(8192), (1 << 64) - 1
+
+    def put(at, data):
+        out[at : at + len(data)] = data
+
+    def header(*messages):
+        body = b"".join(bytes([k]) + u(len(d), 2) + b"\0" + d for k, d in messages)
+        whole = b"OHDR" + bytes([2, 0, len(body)]) + body
+        return whole + u(lookup3(whole), 4)
+
+    link = lambda name, to: bytes([1, 0, len(name)]) + name + u(to, 8)
+    head = b"\x89HDF\r\n\x1a\n" + bytes([3, 8, 8, 0]) + u(0, 8) + u(none, 8) + u(8192, 8) + u(48, 8)
+    put(0, head + u(lookup3(head), 4))
+    put(48, header((2, bytes([0, 0]) + u(200, 8) + u(600, 8))))
+    # Blocks of 512 bytes, two a row; offsets in the heap have 4 bytes and lengths 2.
+    put(200, b"FRHP" + bytes([0]) + u(7, 2) + u(0, 2) + b"\0" + u(512, 4) + u(0, 8) + u(none, 8) + u(0, 8) + u(none, 8) + bytes(64) + u(2, 2) + u(512, 8) + u(1024, 8) + u(32, 2) + u(1, 2) + u(1000, 8) + u(2, 2))
+    put(1000, b"FHIB\0" + u(200, 8) + u(0, 4) + u(2048, 8) + u(none, 8) + u(3072, 8) + u(none, 8))
+    links = [link(b"a", 5000), link(b"b", 5200), link(b"c", 5000)]
+    block = lambda at: b"FHDB\0" + u(200, 8) + u(at, 4)
+    put(2048, block(0) + links[0] + links[1])
+    put(3072, block(1024) + links[2])
+    places = [(17, len(links[0])), (17 + len(links[0]), len(links[1])), (1024 + 17, len(links[2]))]
+    records = [u(7, 4) + b"\0" + u(at, 4) + u(n, 2) for at, n in places]
+    put(600, b"BTHD\0\5" + u(512, 4) + u(11, 2) + u(1, 2) + bytes([100, 40]) + u(700, 8) + u(1, 2) + u(3, 8))
+    put(700, b"BTIN\0\5" + records[1] + u(800, 8) + u(1, 1) + u(900, 8) + u(1, 1))
+    put(800, b"BTLF\0\5" + records[0])
+    put(900, b"BTLF\0\5" + records[2])
+    space = bytes([2, 0, 0, 0])
+    put(5000, header((1, space), (3, bytes([0x10, 8, 0, 0]) + u(4, 4) + u(0, 2) + u(32, 2)), (8, bytes([3, 0]) + u(4, 2) + u(41, 4))))
+    put(5200, header((0x0A, bytes([0, 0])), (2, bytes([0, 0]) + u(none, 8) * 2)))
+    f = H5File.of(bytes(out))
+    assert [(p, k) for p, k, _ in f.walk()] == [("/", "group"), ("/a", "dataset"), ("/b/", "group"), ("/c", "dataset")]
+    assert f.values(f.find("/c")).tolist() == [41]
