@@ -39,6 +39,8 @@ from .common import cut, shared_folder, small_batches, table
 LEAST = 1000
 #: Every record has the same date, so that equal inputs make equal archives.
 DATE = "2024-01-01T00:00:00Z"
+#: Records in one WARC file.
+FILE_RECORDS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -146,6 +148,45 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_files(spark: SparkSession, path: str, to: str, records: int = FILE_RECORDS) -> None:
+    """The archive's records as WARC files, of so many records each; payloads must be UTF-8 text."""
+    rows = read_archive(spark, path).select(F.concat("header", F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))).cast("string"))
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(to)
+
+
+def parse_records(data: bytes):
+    """(header fields, block) of each record of a WARC file."""
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at byte {at}")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        begin = end + 4
+        at = begin + int(fields["Content-Length"])
+        if data[at : at + 4] != b"\r\n\r\n":
+            raise ValueError(f"no end of the record at byte {begin}")
+        yield fields, data[begin:at]
+        at += 4
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload_digest, block) of the records of WARC files, one task a file."""
+    small_batches(spark)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "url", "record_type", "refers", "digest")] + [T.StructField("block", T.BinaryType())])
+    names = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Type", "WARC-Refers-To", "WARC-Payload-Digest")
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                for fields, block in parse_records(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([*[pa.array([fields.get(n)], pa.string()) for n in names], pa.array([block], pa.binary())], names=schema.names)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return rows.select(_id_of(F.col("id")).alias("page_id"), "url", "record_type", _id_of(F.col("refers")).alias("refers_to"), F.substring_index("digest", ":", -1).alias("payload_digest"), "block")
+
+
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to an archive, and what is read back from it."""
     path = new_archive(spark)

@@ -410,6 +410,18 @@ def test_records_are_whole(spark, folder):
     assert spark.read.parquet(f"{path}/blobs").count() == len({h for _, h in pages})
 
 
+def test_warc_files(spark, folder, tmp_path):
+    path = warc.new_archive(spark)
+    warc.write_archive(spark.read.parquet(f"{folder}/pages.parquet"), path)
+    warc.write_files(spark, path, str(tmp_path / "w"), 7)
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_files(spark, str(tmp_path / "w")).collect())
+    assert got == Counter({(p, k, to, d): n for (p, _, d, k, to), n in brute_pages(spark, folder).items()})
+    assert all(hashlib.sha1(bytes(r.block)).hexdigest() == r.payload_digest for r in warc.read_files(spark, str(tmp_path / "w")).where("record_type = 'response'").collect())
+    for bad in (b"junk\r\n\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+
+
 def test_damage_is_found(spark, folder):
     path = warc.new_archive(spark)
     warc.write_archive(spark.read.parquet(f"{folder}/pages.parquet"), path)
