@@ -11,8 +11,8 @@ An n-gram is ``NGRAM`` bytes of the lower-cased UTF-8 text whose runs of other
 characters than letters are one space.
 
 The filter is fitted on a bounded sample of labelled texts: whole texts, drawn by
-a hash of their ids so that each language has ``SAMPLE_CHARS`` characters or so,
-or all if it has less. The n-grams that the driver collects are no more than
+a hash of their ids so that each language has ``SAMPLE_CHARS`` characters or so
+(fewer if all would have more than ``ALL_CHARS``), or all if it has less. The n-grams that the driver collects are no more than
 those of this sample, and the filter's size is a parameter.
 
 Defined results:
@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .common import small_batches, table, unwrapped, wrapped
 
 NGRAM = 5
-#: Characters of the training sample for each language, and the most languages.
-SAMPLE_CHARS, MAX_LANGUAGES = 4_000_000, 64
+#: Characters of the training sample for each language and for all of them, and the most languages.
+SAMPLE_CHARS, ALL_CHARS, MAX_LANGUAGES = 4_000_000, 16_000_000, 64
 #: Slots of the filter, and those that one n-gram sets.
 SLOTS, HASHES = 1 << 21, 3
 #: An n-gram belongs to a language if at least so many of its sampled texts have it, and its share of
@@ -138,7 +138,7 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int
     if not languages:
         return Filters([], [])
     small_batches(labelled.sparkSession)
-    part = F.lit(0.0)
+    sample_chars, part = min(sample_chars, ALL_CHARS // len(languages)), F.lit(0.0)
     for r in sizes:
         part = F.when(F.col(lang) == r[0], min(1.0, sample_chars / max(1, r["chars"]))).otherwise(part)
     spot = F.shiftrightunsigned(F.xxhash64(key), 32) / float(1 << 32)
