@@ -12,8 +12,9 @@ characters than letters are one space.
 
 The filter is fitted on a bounded sample of labelled texts: whole texts, drawn by
 a hash of their ids so that each language has ``SAMPLE_CHARS`` characters or so
-(fewer if all would have more than ``ALL_CHARS``), or all if it has less. The n-grams that the driver collects are no more than
-those of this sample, and the filter's size is a parameter.
+(fewer if all would have more than ``ALL_CHARS``), or all if it has less. The
+n-grams that the driver collects are no more than those of this sample, and the
+filter's size is a parameter.
 
 Defined results:
 
