@@ -178,7 +178,7 @@ def test_attribute_types():
             attribute_type(bad)
 
 
-DUMP = """HDF5 "x" {
+DUMP = """FILE "x" {
 GROUP "/" { DATASET "1d" {
    DATATYPE  H5T_STD_I32LE
    DATASPACE  SIMPLE { ( 100 ) / ( 100 ) }
