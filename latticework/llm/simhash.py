@@ -97,16 +97,15 @@ def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS
     """``rows`` (with ``fp``) and ``component_id``, the smallest ``value`` among the rows of linked fingerprints."""
     groups = print_groups(rows, radius)
     first = rows.groupBy("fp").agg(F.min(value).alias("_first"))
-    rooted = first.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "_first", "root")
-    linked = rooted.where("root IS NOT NULL")
+    linked = first.join(groups, F.col("fp") == F.col("node")).select("fp", "_first", "root")
     # The roots are fingerprints themselves, and not among the linked nodes.
     own = first.join(groups.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select("fp", "_first", F.col("fp").alias("root"))
-    members = linked.unionByName(own)
-    members = cut(members)
+    members = cut(linked.unionByName(own))
     least = cut(members.groupBy("root").agg(F.min("_first").alias("_least")))
-    moved = members.join(least, "root").select(F.col("fp").alias("_fp"), "_least")
+    moved = members.join(least, "root").select(F.col("fp").alias("_fp"), F.col("_least").alias("component_id"))
+    others = first.join(members.select("fp"), "fp", "left_anti").select(F.col("fp").alias("_fp"), F.col("_first").alias("component_id"))
     # Kept as a table, so that the join below has nothing but two exchanges under it and its hot fingerprints can be split.
-    ids = cut(first.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_first").alias("component_id")))
+    ids = cut(moved.unionByName(others))
     return rows.join(ids, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
