@@ -123,7 +123,8 @@ def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str, derived:
     names = [*columns, *derived]
     # Single columns, as a struct of them would go through the shuffle beside them.
     ahead = {f"_next_{c}": F.lead(c).over(order) for c in names} | {"_more": F.lead(F.lit(True)).over(order)}
-    seen = rows.withColumns(derived).withColumns(ahead)
+    # What is derived comes after the shuffle, in as many tasks as that has.
+    seen = rows.repartition("_range").withColumns(derived).withColumns(ahead)
     # Few rows are first in their range: they are found before anything is derived from them.
     heads = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").withColumns(derived).select(F.col("_range").alias("_of"), F.struct(*names).alias("_head"))
 
