@@ -82,7 +82,7 @@ def grid(spark, dims: Sequence[int], names: Sequence[str]) -> DataFrame:
     """Every coordinate of an array, from its row-major offset."""
     out, stride = spark.range(math.prod(dims)), math.prod(dims)
     for name, n in zip(names, dims, strict=True):
-        stride //= n
+        stride //= n or 1
         out = out.withColumn(name, F.expr(f"(id div {stride}) % {n}").cast("long"))
     return out.drop("id")
 

@@ -130,7 +130,7 @@ g AS (SELECT unnest(range((SELECT n FROM n))) AS r), h AS (SELECT unnest(range(6
 SELECT g.r, h.c, coalesce(k.v, 0.0) AS v FROM g CROSS JOIN h LEFT JOIN kept k ON k.r = g.r AND k.c = h.c WHERE g.r < 100""")
 def sparse_fill(spark, sf_dir):
     kept = cells(spark, sf_dir).where("(r div 10 + c div 10) % 2 = 0 AND r < 100")
-    return arrays.filled(kept, arrays.grid(spark, (100, WIDTH), ("r", "c")), ("r", "c")).select("r", "c", "v")
+    return arrays.filled(kept, arrays.grid(spark, (min(rows_of(spark, sf_dir), 100), WIDTH), ("r", "c")), ("r", "c")).select("r", "c", "v")
 
 
 @query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT unnest(range((SELECT n + 3 FROM n))) AS r), h AS (SELECT unnest(range(66)) AS c)
