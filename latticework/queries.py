@@ -613,10 +613,16 @@ def workload_stream(spark, sf_dir):
 # Codecs and sources
 
 
+def vector_bytes(vector):
+    """All components in thousandths, as 32-bit whole numbers; null if one is."""
+    words = F.transform(vector, lambda x: F.hex(numbers.little_endian(F.floor(x * 1000), 4)))
+    return F.when(~F.exists(vector, lambda x: x.isNull()), F.unhex(F.array_join(words, "")))
+
+
 @query("SELECT vec_id AS id, 256::BIGINT AS raw, TRUE AS same FROM embeddings")
 def filter_roundtrip(spark, sf_dir):
     """Vectors as bytes through shuffle, deflate and a checksum, and through LZF, and back."""
-    raw = F.concat(*[numbers.little_endian(F.floor(F.col("embedding")[k] * 1000), 4) for k in range(8)], F.repeat(F.lit("ab"), F.lit(112)).cast("binary"))
+    raw = vector_bytes(F.col("embedding"))
     first = codecs.pipeline([codecs.Filter("deflate", 6), codecs.Filter("shuffle", 4), codecs.Filter("fletcher32")])
     second = [codecs.Filter("lzf", 256)]
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), raw.alias("raw"))
