@@ -88,8 +88,8 @@ def read_all_linear(spark, sf_dir):
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v FROM events)
 SELECT i, v FROM a WHERE i BETWEEN 5 AND 992 AND (i - 5) % 10 < 3 AND (i - 5) // 10 < 99""")
 def hyperslab_1d_events(spark, sf_dir):
-    placed = arrays.positions(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v")), "event_id")
-    return selection.select(placed, Hyperslab((5,), (99,), (10,), (3,)), ("i",), (1000,)).select("i", "v")
+    stored = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v"))
+    return selection.select(arrays.positions(stored, "event_id"), Hyperslab((5,), (99,), (10,), (3,)), ("i",), (stored.count(),)).select("i", "v")
 
 
 @query(f"WITH {EMB} SELECT count(*)::BIGINT AS n, (20 * 2 * 5 * 2)::BIGINT AS planned FROM emb WHERE r BETWEEN 10 AND 144 AND (r - 10) % 7 < 2 AND c BETWEEN 4 AND 17 AND (c - 4) % 3 < 2")
