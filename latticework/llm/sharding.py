@@ -3,9 +3,9 @@
 Rows are first dealt to logical partitions by a hash of their key columns. From
 the partitions' row counts alone a communication matrix is drawn: how many rows
 of each partition go to each shard follows the multivariate hypergeometric law
-that a uniform permutation would give. Every partition orders its rows by a
-keyed hash and cuts that order by its row of the matrix; every shard then orders
-what it gets by a second keyed hash, in pieces whose offsets are summed first.
+that a uniform permutation would give, at any size. Every partition orders its
+rows by a keyed hash and cuts that order by its row of the matrix; every shard then
+orders what it gets by a second keyed hash, in pieces whose offsets are summed first.
 
 Only DataFrame expressions touch the rows. The driver sees one count for each
 logical partition, at most ``MAX_PARTS`` of them.
@@ -23,6 +23,8 @@ Defined results:
 from __future__ import annotations
 
 import json
+import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,46 @@ SHARDS, SEED = 40, 20
 PART_ROWS, MAX_PARTS = 512, 4096
 #: Rows in a piece of a shard on average, and the most pieces a shard.
 PIECE_ROWS, MAX_PIECES = 256, 1 << 20
+#: numpy draws from fewer than so many of each kind.
+NUMPY_MOST = 10**9
+HALF_LOG_2PI = Decimal("0.91893853320467274178032973640561763986139747363778")
+
+
+def log_factorial(n: int) -> Decimal:
+    """To more than 20 decimal places below 10^15, by Stirling's series."""
+    with localcontext(prec=40):
+        if n < 256:
+            return Decimal(math.factorial(n)).ln()
+        x = Decimal(n)
+        return (x + Decimal("0.5")) * x.ln() - x + HALF_LOG_2PI + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many good ones are among those drawn; numpy's law without its bound.
+
+    Devroye's rejection for log-concave laws: with mode m of probability p, the
+    probability of m + x is at most p min(1, e^(1 - p |x|)). Numbers are whole, and
+    logarithms of factorials precise enough for differences between large ones.
+    """
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    mode = (drawn + 1) * (good + 1) // (good + bad + 2)
+
+    def weight(k: int) -> Decimal:
+        with localcontext(prec=40):
+            return -sum(map(log_factorial, (k, good - k, drawn - k, bad - drawn + k)))
+
+    top = weight(mode)
+    with localcontext(prec=40):
+        p = float((top + sum(map(log_factorial, (good, bad, drawn, good + bad - drawn))) - log_factorial(good + bad)).exp())
+    w = 1 + p / 2
+    while True:
+        u, v, z = 1 - rng.random(3)
+        y = v * w / p if u <= w / (1 + w) else (w - math.log(v)) / p
+        k = mode + round(y) * (1 if rng.random() < 0.5 else -1)
+        if low <= k <= high and math.log(z) + min(0.0, w - p * y) <= float(weight(k) - top):
+            return k
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int = SEED) -> np.ndarray:
@@ -43,16 +85,14 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int = SEED)
     for n in counts:
         row, rest, total = np.zeros(len(left), dtype=np.int64), int(n), int(left.sum())
         for s in range(len(left)):
-            # One shard against those after it; numpy's law takes up to 10^9 of each kind, beyond that its normal limit serves.
+            # One shard against those after it.
             good, bad = int(left[s]), total - int(left[s])
             if rest == 0:
                 break
-            if max(good, bad) < 10**9:
+            if max(good, bad) < NUMPY_MOST:
                 k = int(rng.hypergeometric(good, bad, rest)) if good + bad else 0
             else:
-                share = good / total
-                spread = (rest * share * (1 - share) * (total - rest) / max(1, total - 1)) ** 0.5
-                k = int(min(good, rest, max(0, rest - bad, round(rng.normal(rest * share, spread)))))
+                k = hypergeometric(rng, good, bad, rest)
             row[s], rest, total = k, rest - k, bad
         left = left - row
         drawn.append(row)

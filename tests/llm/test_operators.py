@@ -473,6 +473,30 @@ def test_matrix_has_exact_margins():
     assert sharding.communication_matrix([1 << 40, 1 << 40], [1 << 40, 1 << 40], 3).sum() == 1 << 41
 
 
+def test_large_draws_follow_the_exact_law():
+    # Three rows of a partition, one of 101 of which goes to the small shard; a rounded normal hardly ever sends one there.
+    sizes = [10**9, 10**11]
+    sent = Counter(int(sharding.communication_matrix([3, sum(sizes) - 3], sizes, s)[0, 0]) for s in range(3000))
+    assert abs(3000 - sent[0] - 3000 * (1 - (100 / 101) ** 3)) < 45
+
+
+@pytest.mark.parametrize("good,bad,drawn", [(7, 9, 6), (300, 500, 40), (5, 400, 390), (1, 3, 2)])
+def test_any_draw_follows_the_exact_law(good, bad, drawn):
+    rng, n = np.random.default_rng(5), 4000
+    got = Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+    law = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+    assert set(got) <= set(law)
+    assert all(abs(got[k] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 1 for k, p in law.items())
+
+
+def test_large_draws_spread_as_they_should():
+    rng, good, bad, drawn = np.random.default_rng(6), 10**12, 3 * 10**12, 10**11
+    x = np.array([sharding.hypergeometric(rng, good, bad, drawn) - drawn // 4 for _ in range(2000)], dtype=float)
+    sd = (drawn * 0.25 * 0.75 * (good + bad - drawn) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean()) < 5 * sd / 2000**0.5 and abs(x.std() / sd - 1) < 0.08
+    assert abs((np.abs(x) < sd).mean() - 0.6827) < 0.05
+
+
 # 10
 
 
