@@ -4,8 +4,8 @@ Texts of up to ``CHUNK`` characters are encoded where they lie. Longer ones are
 cut into chunks that overlap; each chunk is split into pre-tokens from its own
 start, in parallel. Splitting is a scan without memory: once two scans share a
 boundary they share all later ones. So chunk k + 1 takes over from chunk k at
-the first boundary in their overlap that both have, and the pieces between
-these places are encoded in parallel. A text in which some overlap has no common
+the first boundary in their overlap that both have and that doesn't follow white
+space, and the pieces between these places are encoded in parallel. A text in which some overlap has no common
 boundary is encoded in one go. Decoding concatenates the tokens' bytes.
 
 A long text is handled once for all rows that have it, by its digest; the ids of
@@ -103,7 +103,8 @@ def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
         for text, last in zip(chunks.to_pylist(), lasts.to_pylist(), strict=True):
             found = boundaries(text, pattern, last)
             heads.append([p for p in found if p <= overlap])
-            tails.append([p - chunk for p in found if p >= chunk])
+            # After white space the encoder would see a run's end where the whole text goes on, and might split the run in another way.
+            tails.append([p - chunk for p in found if p >= chunk and not text[p - 1].isspace()])
         kind = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array(heads, type=kind), pa.array(tails, type=kind)], names=MARKS.names)
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import zlib
@@ -257,6 +258,20 @@ def test_bpe_chunks(spark):
     check_bpe(spark, texts, chunk=37, overlap=9)
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\t\t", "\n\n\n\n", " \n", "\u00a0\u00a0"])
+def test_bpe_pieces_do_not_end_in_white_space(spark, tmp_path, gap):
+    pieces = [bytes([b]) for b in range(256)] + [gap.encode()[:k] for k in range(2, len(gap.encode()) + 1)]
+    ranks = tmp_path / "ranks.tiktoken"
+    ranks.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(dict.fromkeys(pieces))))
+    encoder = bpe.codec(str(ranks), bpe.default_pattern())[0]
+    # White space ends at, before and after the end of a chunk, and words follow to cut at or don't.
+    texts = ["a" * k + gap + tail for k in range(20) for tail in ("word and more words here", "w" * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for overlap in (6, 12):
+        for r in bpe.encode_texts(df, path=str(ranks), chunk=16, overlap=overlap).collect():
+            assert (r.bpe.ids, bytes(r.bpe.decoded).decode()) == (",".join(map(str, encoder.encode_ordinary(texts[r.i]))), texts[r.i])
+
+
 def test_bpe_query(spark, folder, rows):
     encoder = bpe.codec(bpe.default_ranks(), bpe.default_pattern())[0]
     want = Counter()
