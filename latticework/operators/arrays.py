@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import key_ranges
+
 #: Rows that are numbered together, on average, and groups of them that are summed together.
 ROWS_TOGETHER, GROUPS_TOGETHER = 4096, 4096
 
@@ -15,23 +17,21 @@ ROWS_TOGETHER, GROUPS_TOGETHER = 4096, 4096
 def positions(df: DataFrame, key: str, name: str = "i", rows: int = ROWS_TOGETHER) -> DataFrame:
     """``df`` with each row's place, from 0, in the order of a unique whole-numbered key.
 
-    Rows are dealt to ranges of the key; the ranges' counts are summed on two
-    levels, so no task sees all rows, nor one row for each range.
+    Rows are dealt to ranges of the key between its quantiles, however the keys
+    are spread; the ranges' counts are summed on two levels, so no task sees all
+    rows, nor one row for each range. Rows without a key have no place.
     """
-    lo, hi, count = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if not count:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, math.ceil((hi - lo + 1) * rows / count))
-    near = df.withColumn("_range", F.floor((F.col(key) - F.lit(lo)) / width).cast("long"))
-    counts = near.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_group", F.floor(F.col("_range") / GROUPS_TOGETHER))
+    near = df.withColumn("_range", key_ranges(df, key).range_of(F.col(key), rows))
+    counts = near.where("_range IS NOT NULL").groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_group", F.floor(F.col("_range") / GROUPS_TOGETHER))
     groups = counts.groupBy("_group").agg(F.sum("_rows").alias("_all"))
+    # No more rows than cells of the key's ranges, or than ranges divided by GROUPS_TOGETHER.
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("_group", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).join(groups, "_group")
     starts = starts.select("_range", (F.col("_base") + F.col("_before")).alias("_start"))
     numbered = near.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    return numbered.join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_n") - 1).cast("long")).drop("_range", "_n", "_start")
+    return numbered.join(starts, "_range", "left").withColumn(name, (F.col("_start") + F.col("_n") - 1).cast("long")).drop("_range", "_n", "_start")
 
 
 def matrix_cells(df: DataFrame, row: str, values: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,10 +29,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share; a temporary one only where none is set."""
+    """The folder for checkpoints that driver and executors share: the cluster's own setting.
+
+    Only where none is set and driver and executors are one process (as in
+    tests) a temporary one is made, and removed at the end; elsewhere it is an error.
+    """
     context = spark.sparkContext
     kept = context._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder for tables that are written and read again; the driver's JVM removes it when it ends.
+
+    It lies in the shared folder, so any executor can read it, also after others are lost.
+    """
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from .functions import checksums, numbers, shapes, smallfloat, strings
 from .operators import arrays, catalog, codecs, workload
 from .plans import selection
 from .plans.selection import Hyperslab
-from .plans.session import shared_folder
+from .plans.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -601,7 +600,7 @@ def workload_stream(spark, sf_dir):
     """Windowed decisions from a stream of the event file, drained to a table; a last event far ahead closes all windows."""
     from .streaming.workload import drained, windowed_features
 
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    folder = scratch(spark, "events")
     src = events(spark, sf_dir).withColumn("key", F.pmod("key", F.lit(3)).cast("string"))
     src.write.parquet(f"{folder}/1")
     end = src.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("key"), "ts", F.lit("read").alias("op"), F.lit(0).cast("long").alias("size"))
@@ -642,7 +641,7 @@ def container_select(spark, sf_dir):
     from .sources.container import Container
 
     n = rows_of(spark, sf_dir)
-    box = Container.create(spark, f"{shared_folder(spark)}/container-{uuid.uuid4().hex}")
+    box = Container.create(spark, scratch(spark, "container"))
     box.add_group("/vectors")
     box.write_dataset("/vectors/all", cells(spark, sf_dir), "float64", (n, WIDTH), ("r", "c"), chunk=(min(n, 250), 16), maxdims=(None, WIDTH))
     return box.select("/vectors/all", Hyperslab((30, 8), (50, 9), (1, 4)), ("r", "c")).select("r", "c", "v")
@@ -675,7 +674,7 @@ def array_file_select(spark, sf_dir):
     from .operators.codecs import Filter
     from .sources import h5
 
-    n, path = rows_of(spark, sf_dir), f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}.h5"
+    n, path = rows_of(spark, sf_dir), f"{scratch(spark, 'arrays')}/a.h5"
     with h5.created(path) as file:
         file.group("/vectors")
         h5.write_cells(file, "/vectors/all", cells(spark, sf_dir), "float64", (n, WIDTH), (250, 16), ("r", "c"), filters=[Filter("deflate", 4), Filter("shuffle", 8), Filter("fletcher32")])
@@ -687,6 +686,6 @@ def object_info(spark, sf_dir):
     """What a listing says of a stored dataset, without reading its cells."""
     from .sources.container import Container
 
-    box = Container.create(spark, f"{shared_folder(spark)}/container-{uuid.uuid4().hex}")
+    box = Container.create(spark, scratch(spark, "container"))
     box.write_dataset("/v", cells(spark, sf_dir), "float64", (rows_of(spark, sf_dir), WIDTH), ("r", "c"), chunk=(100, 16))
     return box.info()

@@ -6,14 +6,13 @@ keeps one small state for each key.
 
 from __future__ import annotations
 
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import workload
-from ..plans.session import shared_folder
+from ..plans.session import scratch
 
 
 def windowed_features(events: DataFrame, window: str = "6 hours", late: str = "1 hour", key: str = "key") -> DataFrame:
@@ -55,7 +54,7 @@ def steady_modes(decisions: DataFrame, key: str = "key", stable_s: float = workl
 def drained(stream: DataFrame) -> DataFrame:
     """All that a stream gives for the input there is, through a table in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
