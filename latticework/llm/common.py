@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import scratch, shared_folder  # noqa: F401
+
 #: The white space that separates words: space and the bytes 9 to 13.
 BLANKS = " \t\n\x0b\f\r"
 #: One word, and what stands between words, as regular expressions.
@@ -36,20 +36,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for checkpoints.
-
-    It is the cluster's own setting; only where none is set (as in tests) a
-    temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    kept = context._jsc.sc().getCheckpointDir()
-    if kept.isDefined():
-        return kept.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed now and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)

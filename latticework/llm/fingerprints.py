@@ -15,16 +15,20 @@ Defined results:
   zero digits, which is like itself (1.0) and like others by chance only;
 * a text of fewer words than a shingle has one shingle, the whole sequence;
 * equal texts have equal fingerprints; repeated shingles count once;
-* repeated rows give repeated results; other columns are kept by the operator.
+* repeated rows give repeated results; of equal ids the order is that of a hash
+  of the text, and rows equal in both are interchangeable;
+* ids may be any 64-bit numbers, in clusters, far apart or null; an empty table
+  gives no rows;
+* a very long text is hashed within its row: memory is eight bytes a word and
+  shingle, time that of sorting them; other columns are kept by the operator.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import key_ranges
 from .common import let, table, text_words
 
 BINS, BITS, SHINGLE = 256, 8, 5
@@ -107,16 +111,15 @@ def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str, derived:
 
     Null keys come last, in the order of a hash of ``tie``; ties go by that hash
     and then ``tie`` itself. After the last row comes the first. The rows are
-    dealt by arithmetic key ranges, so that no task sees more than a few ranges;
-    only each range's first row travels to the range above. ``key`` is a whole
-    number; keys in clusters make ranges uneven, and results stay the same.
+    dealt by ranges between the key's quantiles, whatever 64-bit numbers the keys
+    are, so that no task sees more than a few ranges; only each range's first row
+    travels to the range above.
     """
-    lo, hi, count = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, math.ceil((hi - lo + 1) * ROWS_TOGETHER / max(count, 1)))
-    parts = max(1, count // ROWS_TOGETHER)
+    ranges = key_ranges(df, key)
+    parts = max(1, ranges.rows // ROWS_TOGETHER)
     spot = F.shiftrightunsigned(F.xxhash64(F.col(tie)), 32)
-    near = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)), -1 - F.floor(spot * parts / float(1 << 32))).cast("long")
+    share = spot / float(1 << 32)
+    near = F.coalesce(ranges.range_of(F.col(key), ROWS_TOGETHER, share), -1 - F.floor(share * parts)).cast("long")
     rows = df.withColumn("_range", near)
     order = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), spot, F.col(tie))
     derived = derived or {}
