@@ -22,7 +22,11 @@ Defined results:
 * a null source is a source of its own, after all others; sources without words
   have the target 0; an empty table gives no rows;
 * rows with equal ids and texts are taken each for itself; ties are broken by
-  id, size and text hash, so reruns agree; other columns are kept.
+  id, size and text hash, so reruns agree;
+* other columns are kept whatever their names; those named like the columns that
+  mix() adds are replaced;
+* a very long text is only measured and hashed where it lies; a document of many
+  words spans as many blocks, and has a row for each.
 """
 
 from __future__ import annotations
@@ -135,7 +139,7 @@ def schedule(spark, taken: list[int], block: int = BLOCK) -> DataFrame:
 
 
 def streams(df: DataFrame, place: str, size: str, keys: list[str], count: int, seed: int = SEED) -> DataFrame:
-    """``df`` with ``offset``, where each document begins in its source's shuffled stream of words, and ``row``, its number in ``place``."""
+    """``df`` with ``_offset``, where each document begins in its source's shuffled stream of words, and ``_row``, its number in ``place``."""
     pieces = power_of_two(count / PIECE_ROWS, MAX_PIECES)
     code = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
     piece = F.shiftrightunsigned("_code", 64 - (pieces.bit_length() - 1)) if pieces > 1 else F.lit(0)
@@ -145,8 +149,8 @@ def streams(df: DataFrame, place: str, size: str, keys: list[str], count: int, s
     starts = sums.select(place, "_piece", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(place, "_piece").orderBy("_code", *keys)
     within = F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_within", within).withColumn("row", F.shiftleft("_piece", 40) + F.row_number().over(inside))
-    return rows.join(starts, [place, "_piece"]).withColumn("offset", F.col("_start") + F.col("_within")).drop("_code", "_piece", "_start", "_within")
+    rows = rows.withColumn("_within", within).withColumn("_row", F.shiftleft("_piece", 40) + F.row_number().over(inside))
+    return rows.join(starts, [place, "_piece"]).withColumn("_offset", F.col("_start") + F.col("_within")).drop("_code", "_piece", "_start", "_within")
 
 
 def mix(df: DataFrame, source: str, size: str, keys: list[str], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
@@ -163,29 +167,32 @@ def mix(df: DataFrame, source: str, size: str, keys: list[str], weights: tuple[i
     if block != 1 << shift:
         raise ValueError("block must be a power of two")
     rows = plan(df, source, size, weights, share, epochs)
-    kinds = [("_source", df.schema[source].dataType), ("place", T.IntegerType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("_all", T.LongType())]
+    kinds = [("_source", df.schema[source].dataType), ("_place", T.IntegerType()), ("_of", T.LongType()), ("_target", T.DoubleType()), ("_all", T.LongType())]
     listed = spark.createDataFrame([(r[0], i, *r[1:]) for i, r in enumerate(rows)], T.StructType([T.StructField(*k) for k in kinds]))
+    doc, names = F.col("_doc"), [f"_key_{k}" for k in range(len(keys))]
+    own = wrapped(df).select("_doc", doc[size].cast("long").alias("_size"), *[doc[k].alias(n) for k, n in zip(keys, names, strict=True)])
     # At most MAX_SOURCES rows.
-    placed = df.join(F.broadcast(listed), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    laid = streams(placed, "place", size, keys, df.count())
-    slots = schedule(spark, [r[3] for r in rows], block).select(F.col("place").alias("_place"), F.col("block").alias("_slot_block"), "slot", F.col("words").alias("_slot_words"))
+    placed = own.join(F.broadcast(listed), doc[source].eqNullSafe(F.col("_source"))).drop("_source")
+    laid = streams(placed, "_place", "_size", names, df.count())
+    slots = schedule(spark, [r[3] for r in rows], block).select(F.col("place").alias("_slot_place"), F.col("block").alias("_slot_block"), F.col("slot").alias("_slot"), F.col("words").alias("_slot_words"))
 
     # The blocks that a document has words in, in every pass through its source that the slots come to.
     def blocks(e: int) -> Column:
-        begin = F.col("offset") + e * F.col("source_size")
-        end = F.least(begin + F.col(size), F.col("_all")) - 1
+        begin = F.col("_offset") + e * F.col("_of")
+        end = F.least(begin + F.col("_size"), F.col("_all")) - 1
         each = F.transform(F.sequence(F.shiftright(begin, shift), F.shiftright(end, shift)), lambda b: F.struct(F.lit(e).alias("epoch"), b.alias("block")))
         return F.when(begin <= end, each).otherwise(F.array().cast("array<struct<epoch:int,block:bigint>>"))
 
     parts = laid.withColumn("_part", F.explode_outer(F.concat(*[blocks(e) for e in range(epochs)])))
     # Documents that aren't taken meet no slot; they are spread over keys that no block has.
-    spread = -1 - F.pmod(F.hash("row"), F.lit(1 << 20))
-    parts = parts.withColumn("_block", F.coalesce("_part.block", spread.cast("long"))).withColumn("_begin", F.col("offset") + F.col("_part.epoch") * F.col("source_size"))
-    meet = parts.join(slots, (F.col("place") == F.col("_place")) & (F.col("_block") == F.col("_slot_block")), "left")
+    spread = -1 - F.pmod(F.hash("_row"), F.lit(1 << 20))
+    parts = parts.withColumn("_block", F.coalesce("_part.block", spread.cast("long"))).withColumn("_begin", F.col("_offset") + F.col("_part.epoch") * F.col("_of"))
+    meet = parts.join(slots, (F.col("_place") == F.col("_slot_place")) & (F.col("_block") == F.col("_slot_block")), "left")
     lo = F.greatest(F.col("_begin"), F.shiftleft("_block", shift))
-    hi = F.least(F.col("_begin") + F.col(size), F.shiftleft("_block", shift) + F.col("_slot_words"))
-    words = F.when(F.col("slot").isNull(), 0).otherwise(hi - lo).cast("long")
-    return meet.select(*df.columns, "place", "row", "source_size", "target", "slot", F.col("_part.epoch").alias("epoch"), (lo - F.col("_begin")).alias("first"), words.alias("words"))
+    hi = F.least(F.col("_begin") + F.col("_size"), F.shiftleft("_block", shift) + F.col("_slot_words"))
+    words = F.when(F.col("_slot").isNull(), 0).otherwise(hi - lo).cast("long")
+    added = {"place": F.col("_place"), "row": F.col("_row"), "source_size": F.col("_of"), "target": F.col("_target"), "slot": F.col("_slot"), "epoch": F.col("_part.epoch"), "first": lo - F.col("_begin"), "words": words}
+    return unwrapped(meet, df.columns, **added)
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
