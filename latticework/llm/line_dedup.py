@@ -16,20 +16,25 @@ Defined results:
   ends; lines without other characters are never counted nor dropped;
 * a line counts once a page, however often the page repeats it;
 * a null text stays null, with 0 lines; an empty one stays empty, with 1 line;
-* a null host is a host of its own; hosts with fewer pages than ``min_pages``
-  containing a line never lose it;
-* repeated rows count as pages of their own; other columns stay as they are.
+* a null host is a host of its own; the ratio alone decides, so a host of few
+  pages loses lines that one page has, unless ``min_pages`` asks for more;
+* repeated rows count as pages of their own; an empty table gives no rows;
+* a very long text is split within its row, in memory of a few times its length;
+* other columns stay as they are; the counts come as one struct column whose
+  name the caller gives, and a column of that name is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, cut, let, table, unwrapped, wrapped
 
-#: A line is boilerplate if more than this share of its host's pages, and at least so many pages, contain it.
-RATIO, MIN_PAGES = 0.1, 5
+#: A line is boilerplate if more than this share of its host's pages contain it.
+RATIO = 0.1
 #: Up to so many boilerplate lines, at 16 bytes and some overhead each, are broadcast.
 BROADCAST_LINES = 200_000
 
@@ -40,22 +45,34 @@ def _digest(line: Column) -> Column:
     return F.when(F.length(bare) > 0, F.unhex(F.md5(bare)))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user and port; null if it has none."""
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+|\[[^\]/?#]*\])", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
     """(host, digest, pages, host_pages) of each line that is boilerplate on its host."""
-    of_page = F.array_distinct(F.array_compact(F.transform(F.split(text, "\n", -1), _digest)))
-    counts = pages.select(F.col(host).alias("host"), F.explode(of_page).alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
-    totals = pages.groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("host_pages"))
+    rows = pages.select(host.alias("host"), text.alias("text"))
+    of_page = F.array_distinct(F.array_compact(F.transform(F.split("text", "\n", -1), _digest)))
+    counts = rows.select("host", F.explode(of_page).alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
+    totals = rows.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("host_pages"))
     often = counts.where(F.col("pages") >= min_pages)
     return often.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("pages") > F.lit(ratio) * F.col("host_pages")).drop("of")
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text``; ``_lines`` and ``_dropped`` count those there were and those that went."""
-    found = cut(boilerplate(pages, host, text, ratio, min_pages).groupBy("host").agg(F.collect_list("digest").alias("_digests")).withColumnRenamed("host", "_host"))
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1, counts: str = "line_counts", site: Callable[[Column], Column] = lambda host: host) -> DataFrame:
+    """``pages`` with boilerplate lines taken out of ``text``.
+
+    ``counts`` names a struct: ``lines`` there were, and ``dropped`` ones. ``site``
+    makes the host from the column ``host``, such as host_of() from a URL.
+    """
+    found = boilerplate(pages, site(F.col(f"`{host}`")), F.col(f"`{text}`"), ratio, min_pages)
+    found = cut(found.groupBy("host").agg(F.collect_list("digest").alias("_digests")).withColumnRenamed("host", "_host"))
     lines = found.agg(F.coalesce(F.sum(F.size("_digests")), F.lit(0))).first()[0]
     beside = F.broadcast(found) if lines <= BROADCAST_LINES else found
     doc = F.col("_doc")
-    joined = wrapped(pages).join(beside, doc[host].eqNullSafe(F.col("_host")), "left")
+    joined = wrapped(pages).join(beside, site(doc[host]).eqNullSafe(F.col("_host")), "left")
 
     def kept(split: Column) -> Column:
         keep = F.filter(split, lambda x: ~F.coalesce(F.array_contains("_digests", _digest(x)), F.lit(False)))
@@ -67,40 +84,54 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     count = F.when(known, F.col("_both.lines")).otherwise(0)
     dropped = F.when(known, F.col("_both.lines") - F.size("_both.kept")).otherwise(0)
     clean = F.when(dropped == 0, doc[text]).otherwise(F.array_join("_both.kept", "\n"))
-    return unwrapped(out, pages.columns, **{text: clean, "_lines": count, "_dropped": dropped})
+    told = F.struct(count.cast("long").alias("lines"), dropped.cast("long").alias("dropped"))
+    return unwrapped(out, pages.columns, **{text: clean, counts: told})
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = drop_boilerplate(docs)
-    return out.select("doc_id", "source", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), "text")
+    return out.select("doc_id", "source", F.col("line_counts.lines").alias("n_lines"), F.col("line_counts.dropped").alias("n_dropped"), "text")
 
 
-OP4_SQL = """
-WITH lines AS (
-  SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
-), pages AS (
-  SELECT DISTINCT source, doc_id, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines
+def line_dedup_pages(spark, sf_dir: str) -> DataFrame:
+    """Every page without its host's boilerplate lines; a line is on two pages at least."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = drop_boilerplate(pages, "url", "html", min_pages=2, site=host_of)
+    return out.select("page_id", host_of(F.col("url")).alias("host"), F.col("line_counts.lines").alias("n_lines"), F.col("line_counts.dropped").alias("n_dropped"), "html")
+
+
+_SQL = """
+WITH pages AS (
+  {pages}
+), lines AS (
+  SELECT DISTINCT host, id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM pages
 ), counts AS (
-  SELECT source, line, count(*) AS pages FROM pages WHERE line <> '' GROUP BY source, line
+  SELECT host, line, count(*) AS pages FROM lines WHERE line <> '' GROUP BY host, line
 ), totals AS (
-  SELECT source, count(*) AS host_pages FROM documents GROUP BY source
+  SELECT host, count(*) AS host_pages FROM pages GROUP BY host
 ), often AS (
-  SELECT c.source, list(c.line) AS lines
-  FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.pages >= 5 AND c.pages > 0.1::DOUBLE * t.host_pages
-  GROUP BY c.source
+  SELECT c.host, list(c.line) AS lines
+  FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host
+  WHERE c.pages >= {least} AND c.pages > 0.1::DOUBLE * t.host_pages
+  GROUP BY c.host
 ), split AS (
-  SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS lines, coalesce(o.lines, []) AS often
-  FROM documents d LEFT JOIN often o ON d.source IS NOT DISTINCT FROM o.source
+  SELECT p.id, p.host, string_split(p.text, chr(10)) AS lines, coalesce(o.lines, []) AS often
+  FROM pages p LEFT JOIN often o ON p.host IS NOT DISTINCT FROM o.host
 ), kept AS (
-  SELECT doc_id, source, lines,
+  SELECT id, host, lines,
     list_filter(lines, lambda x: NOT list_contains(often, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
   FROM split
 )
-SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines,
+SELECT id AS {id}, host AS {host}, coalesce(len(lines), 0)::BIGINT AS n_lines,
   coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped,
-  array_to_string(kept, chr(10)) AS text
+  array_to_string(kept, chr(10)) AS {text}
 FROM kept
 """
+
+OP4_SQL = _SQL.format(pages="SELECT doc_id AS id, source AS host, text FROM documents", least=1, id="doc_id", host="source", text="text")
+PAGES_SQL = _SQL.format(
+    pages="SELECT page_id AS id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\\[\\]]+|\\[[^\\]/?#]*\\])', 1)), '') AS host, html AS text FROM pages",
+    least=2, id="page_id", host="host", text="html",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .fingerprints import op1_fingerprints
 from .langid import op10_language_id
-from .line_dedup import OP4_SQL, op4_line_dedup
+from .line_dedup import OP4_SQL, PAGES_SQL, line_dedup_pages, op4_line_dedup
 from .mixing import op2_mixing
 from .ogg import op3_ogg
 from .sharding import op9_sharding
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_ogg": op3_ogg,
     "op4_line_dedup": op4_line_dedup,
+    "line_dedup_pages": line_dedup_pages,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-SQL = {"op4_line_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "line_dedup_pages": PAGES_SQL, "op8_warc": OP8_SQL}
