@@ -10,11 +10,11 @@ fill to the power of the number of slots), and the largest decides.
 An n-gram is ``NGRAM`` bytes of the lower-cased UTF-8 text whose runs of other
 characters than letters are one space.
 
-The filter is fitted on a bounded sample of labelled texts: whole texts, drawn by
-a hash of their ids so that each language has ``SAMPLE_CHARS`` characters or so
-(fewer if all would have more than ``ALL_CHARS``), or all if it has less. The
-n-grams that the driver collects are no more than those of this sample, and the
-filter's size is a parameter.
+The filter is fitted on a bounded sample of labelled texts: whole texts, in the
+order of a hash of their ids, as many as have ``SAMPLE_CHARS`` characters together
+for each language (fewer if all would have more than ``ALL_CHARS``). A text that
+would go beyond that is passed over. The n-grams that the driver collects are no
+more than those of this sample, and the filter's size is a parameter.
 
 Defined results:
 
@@ -23,7 +23,8 @@ Defined results:
   frequent in training, with score 0; ties go to the more frequent language;
 * if nothing was learned every text is ``und``;
 * equal texts have equal results; repeated rows and other columns are kept;
-  a very long text is handled in pieces of ``AT_ONCE`` bytes.
+  a very long text is handled in pieces of ``AT_ONCE`` characters, cut between
+  words; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +41,15 @@ from .common import small_batches, table, unwrapped, wrapped
 NGRAM = 5
 #: Characters of the training sample for each language and for all of them, and the most languages.
 SAMPLE_CHARS, ALL_CHARS, MAX_LANGUAGES = 4_000_000, 16_000_000, 64
+#: The draw has SAMPLE_CHARS characters on average; what goes beyond so many times that is left out.
+SLACK = 2
 #: Slots of the filter, and those that one n-gram sets.
 SLOTS, HASHES = 1 << 21, 3
 #: An n-gram belongs to a language if at least so many of its sampled texts have it, and its share of
 #: the language's n-grams is at least this part of that in the language where it is most frequent.
 MIN_TEXTS, MIN_PART = 2, 0.2
-AT_ONCE = 1 << 20
+#: Characters of a text whose n-grams are looked up at once.
+AT_ONCE = 1 << 16
 UNKNOWN = "und"
 #: Texts below this score are rejected as none of the learned languages, if they have enough characters to tell.
 MIN_SCORE, MIN_CHARS = 0.25, 40
@@ -55,17 +59,51 @@ _LETTER = regex.compile(r"\p{L}")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
+def normal_pieces(text: str, size: int):
+    """The lower-cased UTF-8 bytes of a text, runs of other characters than letters as one space and one at either end, in pieces.
+
+    A text is cut where other characters than letters begin, so that lower-casing
+    sees whole words; a longer word makes a piece as long as itself.
+    """
+    at, space = 0, True
+    yield b" "
+    while at < len(text):
+        met = _OTHER.search(text, at + size)
+        end = met.start() if met else len(text)
+        part = _OTHER.sub(" ", text[at:end].lower())
+        at = end
+        # A run of other characters that goes on over the cut is still one space.
+        if space:
+            part = part.lstrip(" ")
+        if part:
+            space = part.endswith(" ")
+            yield part.encode("utf-8", "replace")
+    if not space:
+        yield b" "
+
+
+def gram_pieces(text: str, size: int | None = None):
+    """The n-grams of a text in order, as arrays of numbers, one array for each piece."""
+    before, given = b"", False
+    for piece in normal_pieces(text, size or AT_ONCE):
+        data = before + piece
+        n = len(data) - NGRAM + 1
+        if n > 0:
+            data_ = np.frombuffer(data, dtype=np.uint8)
+            out = np.zeros(n, dtype=np.uint64)
+            for k in range(NGRAM):
+                out = (out << np.uint64(8)) | data_[k : k + n]
+            given = True
+            yield out
+        before = data[max(0, n) :]
+    if not given:
+        # Fewer bytes than an n-gram: those that there are, and zeros.
+        yield np.array([int.from_bytes(before.ljust(NGRAM, b"\0"), "big")], dtype=np.uint64)
+
+
 def grams_of(text: str) -> np.ndarray:
     """The n-grams of a text in order, each as a number."""
-    data = np.frombuffer((" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace"), dtype=np.uint8)
-    n = len(data) - NGRAM + 1
-    if n <= 0:
-        data = np.concatenate([data, np.zeros(NGRAM - len(data), np.uint8)])
-        n = 1
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(NGRAM):
-        out = (out << np.uint64(8)) | data[k : k + n]
-    return out
+    return np.concatenate(list(gram_pieces(text)))
 
 
 def slots_of(grams: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -93,21 +131,20 @@ class Filters:
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language's filter has."""
-        total = np.zeros(len(self.languages), dtype=np.int64)
-        for at in range(0, len(grams), AT_ONCE):
-            first, *rest = slots_of(grams[at : at + AT_ONCE], self.slots)
-            found = self.table[first]
-            for more in rest:
-                found &= self.table[more]
-            for k in range(len(self.languages)):
-                total[k] += np.count_nonzero(found & self.table.dtype.type(1 << k))
-        return total
+        first, *rest = slots_of(grams, self.slots)
+        found = self.table[first]
+        for more in rest:
+            found &= self.table[more]
+        return np.array([np.count_nonzero(found & self.table.dtype.type(1 << k)) for k in range(len(self.languages))], dtype=np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0
-        grams = grams_of(text)
-        share = np.clip((self.counts(grams) / len(grams) - self.falsely) / (1 - self.falsely), 0.0, 1.0)
+        counts, total = np.zeros(len(self.languages), dtype=np.int64), 0
+        for grams in gram_pieces(text):
+            counts += self.counts(grams)
+            total += len(grams)
+        share = np.clip((counts / total - self.falsely) / (1 - self.falsely), 0.0, 1.0)
         best = int(share.argmax())
         return self.languages[best], float(share[best])
 
@@ -143,7 +180,10 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int
     for r in sizes:
         part = F.when(F.col(lang) == r[0], min(1.0, sample_chars / max(1, r["chars"]))).otherwise(part)
     spot = F.shiftrightunsigned(F.xxhash64(key), 32) / float(1 << 32)
-    sample = known.where(spot < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = known.where(spot < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.char_length(text).alias("chars"), F.xxhash64(key).alias("turn"))
+    # So many rows are expected to have the sample's characters; the running sum makes that a bound.
+    running = F.sum("chars").over(Window.partitionBy("lang").orderBy("turn", "chars", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sample = drawn.where(F.col("chars") <= sample_chars).withColumn("sum", running).where(F.col("sum") <= SLACK * sample_chars).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, _GRAMS).groupBy("lang", "gram").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times"))
     found = counts.where(F.col("texts") >= MIN_TEXTS).toArrow()
     of, gram, times = (found.column(k).combine_chunks() for k in ("lang", "gram", "times"))
