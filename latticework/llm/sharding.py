@@ -17,7 +17,7 @@ Defined results:
 * null keys and null texts are dealt like others; rows that are equal in all key
   columns are interchangeable; an empty table gives no rows;
 * other columns are kept, whatever their names; columns named ``shard`` or
-  ``slot`` are replaced.
+  ``slot`` are replaced; a very long text travels with its row and isn't looked at.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ whole text's; their counts are kept in a cache of bounded size. Scores are summe
 exactly. A vocabulary that has such a piece is counted without stretches.
 
 Defined results: null and empty texts have 0 pieces; equal texts have equal
-counts; repeated rows and other columns are kept; time is linear in the text.
+counts; repeated rows and other columns are kept; an empty table gives no rows;
+time is linear in the text, and memory a few words of the machine a character of
+the longest stretch without white space.
 """
 
 from __future__ import annotations
