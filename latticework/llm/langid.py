@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters over n-grams.
 
-Training learns which n-grams belong to which languages. Each language has a bit;
+Training learns which n-grams the texts of each language contain. Each language has a bit;
 slot i of the filter holds, bit-sliced, position i of all languages' Bloom
 filters. So ANDing an n-gram's few slots returns all languages that contain it
 at once. A text's n-grams give one popcount for each language. Each is corrected
@@ -44,10 +44,7 @@ SAMPLE_CHARS, ALL_CHARS, MAX_LANGUAGES = 4_000_000, 16_000_000, 64
 #: The draw has SAMPLE_CHARS characters on average; what goes beyond so many times that is left out.
 SLACK = 2
 #: Slots of the filter, and those that one n-gram sets.
-SLOTS, HASHES = 1 << 21, 3
-#: An n-gram belongs to a language if at least so many of its sampled texts have it, and its share of
-#: the language's n-grams is at least this part of that in the language where it is most frequent.
-MIN_TEXTS, MIN_PART = 2, 0.2
+SLOTS, HASHES = 1 << 23, 3
 #: Characters of a text whose n-grams are looked up at once.
 AT_ONCE = 1 << 16
 UNKNOWN = "und"
@@ -149,20 +146,18 @@ class Filters:
         return self.languages[best], float(share[best])
 
 
-_GRAMS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("texts", T.LongType()), T.StructField("times", T.LongType())])
+_GRAMS = T.StructType([T.StructField("bit", T.LongType()), T.StructField("gram", T.LongType())])
 
 
-def _count_grams(batches):
-    """Each language's n-grams with the texts and times they occur, summed up within a batch."""
+def _distinct_grams(batches):
+    """The n-grams of texts (bit of the language, text), each once for a language and batch."""
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(grams_of(text))
-        for lang, of in by.items():
-            times = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(of), return_counts=True)), strict=True))
-            grams, texts = np.unique(np.concatenate([np.unique(x) for x in of]), return_counts=True)
-            columns = [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(texts.astype(np.int64)), pa.array([times[g] for g in grams.tolist()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=_GRAMS.names)
+        by: dict[int, list[np.ndarray]] = {}
+        for bit, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(bit, []).extend(map(np.unique, gram_pieces(text)))
+        for bit, of in by.items():
+            grams = np.unique(np.concatenate(of)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), bit)), pa.array(grams)], names=_GRAMS.names)
 
 
 def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int = SAMPLE_CHARS) -> Filters:
@@ -176,26 +171,20 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, sample_chars: int
     if not languages:
         return Filters([], [])
     small_batches(labelled.sparkSession)
-    sample_chars, part = min(sample_chars, ALL_CHARS // len(languages)), F.lit(0.0)
-    for r in sizes:
+    sample_chars, part, bit = min(sample_chars, ALL_CHARS // len(languages)), F.lit(0.0), F.lit(0)
+    for k, r in enumerate(sizes):
         part = F.when(F.col(lang) == r[0], min(1.0, sample_chars / max(1, r["chars"]))).otherwise(part)
+        # As a signed number, like Spark's.
+        bit = F.when(F.col(lang) == r[0], (1 << k) - (1 << 64 if k == 63 else 0)).otherwise(bit)
     spot = F.shiftrightunsigned(F.xxhash64(key), 32) / float(1 << 32)
-    drawn = known.where(spot < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.char_length(text).alias("chars"), F.xxhash64(key).alias("turn"))
+    drawn = known.where(spot < part).select(bit.cast("long").alias("bit"), F.col(text).alias("text"), F.char_length(text).alias("chars"), F.xxhash64(key).alias("turn"))
     # So many rows are expected to have the sample's characters; the running sum makes that a bound.
-    running = F.sum("chars").over(Window.partitionBy("lang").orderBy("turn", "chars", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sample = drawn.where(F.col("chars") <= sample_chars).withColumn("sum", running).where(F.col("sum") <= SLACK * sample_chars).select("lang", "text")
-    counts = sample.mapInArrow(_count_grams, _GRAMS).groupBy("lang", "gram").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times"))
-    found = counts.where(F.col("texts") >= MIN_TEXTS).toArrow()
-    of, gram, times = (found.column(k).combine_chunks() for k in ("lang", "gram", "times"))
-    place = {x: k for k, x in enumerate(languages)}
-    of = np.fromiter((place[x] for x in of.to_pylist()), dtype=np.int64, count=len(of))
-    gram, times = gram.to_numpy(zero_copy_only=False), times.to_numpy(zero_copy_only=False).astype(float)
-    share = times / np.maximum(1, np.bincount(of, weights=times, minlength=len(languages)))[of]
-    names, which = np.unique(gram, return_inverse=True)
-    most = np.zeros(len(names))
-    np.maximum.at(most, which, share)
-    keep = share >= MIN_PART * most[which]
-    return Filters(languages, [gram[keep & (of == k)].astype(np.uint64) for k in range(len(languages))])
+    running = F.sum("chars").over(Window.partitionBy("bit").orderBy("turn", "chars", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sample = drawn.where(F.col("chars") <= sample_chars).withColumn("sum", running).where(F.col("sum") <= SLACK * sample_chars).select("bit", "text")
+    # Each n-gram's languages as the bits of one number: no more rows than the sample has characters.
+    found = sample.mapInArrow(_distinct_grams, _GRAMS).groupBy("gram").agg(F.bit_or("bit").alias("languages")).toArrow()
+    gram, of = (found.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64) for k in ("gram", "languages"))
+    return Filters(languages, [gram[of >> np.uint64(k) & np.uint64(1) == 1] for k in range(len(languages))])
 
 
 def predict(spark: SparkSession, filters: Filters, text: Column) -> Column:
