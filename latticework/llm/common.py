@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import scratch, shared_folder  # noqa: F401
+from ..plans.session import scratch as scratch
+from ..plans.session import shared_folder
 
 #: The white space that separates words: space and the bytes 9 to 13.
 BLANKS = " \t\n\x0b\f\r"
@@ -63,6 +64,14 @@ def power_of_two(n: float, most: int) -> int:
     return p
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as no column has (columns differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def wrapped(df: DataFrame) -> DataFrame:
     """All columns of ``df`` as the one column ``_doc``, so that no other name can clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))

@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranges import key_ranges
-from .common import let, table, text_words
+from .common import cut, let, table, text_words
 
 BINS, BITS, SHINGLE = 256, 8, 5
 #: Probes tried one after the other before all bins that have values are ranked.
 PROBES = 24
+#: Bands of bins for near-duplicates, and the likeness that counts as one: two standard errors of 256 bins below 0.8.
+BANDS, NEAR = 32, 0.75
 #: Documents that cyclic_next() sorts together, on average.
 ROWS_TOGETHER = 256
 
@@ -88,12 +90,15 @@ def fingerprint(text: Column, bins: int = BINS, bits: int = BITS, shingle: int =
     return let(text_words(text), packed)
 
 
-def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
+def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS, packed: bool = False) -> Column:
     """The estimated resemblance of two fingerprints' shingle sets, 0 to 1.
 
-    Bins that agree by chance, one in ``2 ** bits``, are taken out.
+    Bins that agree by chance, one in ``2 ** bits``, are taken out. ``packed``
+    fingerprints are binary, a byte for each bin of 8 bits.
     """
-    digits, chance = bits // 4, 2.0**-bits
+    if packed and bits != 8:
+        raise ValueError("packed fingerprints have 8 bits a bin")
+    digits, chance = 1 if packed else bits // 4, 2.0**-bits
 
     def agree(pair: Column) -> Column:
         def one(n, i):
@@ -106,6 +111,27 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
 
+def band_links(prints: DataFrame, least: float = NEAR) -> DataFrame:
+    """Links (node, first) between rows whose packed fingerprints have a likeness of ``least`` or more.
+
+    ``prints`` has distinct nodes, ``print`` and ``bands``, a key for each band of
+    bins, and is kept as a table. Rows that agree in a band meet, each is paired
+    with the smallest node there, and the pairs are verified once. Two texts of
+    resemblance 0.8 agree in one of 32 bands of 8 bins in 997 of 1000 cases. A band that any
+    share of the rows agrees in costs one row a task and an equi-join that adaptive
+    execution can split; rows that are alike, but neither of which is like the
+    smallest of a band, meet in another band or through a third.
+    """
+    banded = prints.select("node", F.explode("bands").alias("band"))
+    firsts = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = cut(firsts.select(F.col("band").alias("of"), "first"))
+    pairs = cut(banded.join(firsts, F.col("band") == F.col("of")).where("node != first").select("node", "first").distinct())
+    left = prints.select(F.col("node").alias("a"), F.col("print").alias("a_print"))
+    right = prints.select(F.col("node").alias("b"), F.col("print").alias("b_print"))
+    met = cut(pairs.join(left, F.col("node") == F.col("a")).select("node", "first", "a_print")).join(right, F.col("first") == F.col("b"))
+    return met.where(likeness(F.col("a_print"), F.col("b_print"), packed=True) >= least).select("node", "first")
+
+
 def cyclic_next(df: DataFrame, key: str, columns: list[str], tie: str, derived: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with ``derived`` columns, and ``next``, a struct of ``columns`` and these of the row after it in descending ``key``.
 
