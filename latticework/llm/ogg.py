@@ -14,7 +14,9 @@ all streams, up to the end of the last packet that ends on the page.
 Defined results: a null media value has null in every field; media without
 samples has an empty payload; damaged media (wrong checksum, a missing page, a
 packet that goes on without having begun) raises ``ValueError``. Equal payloads
-make equal media. Very long payloads are handled page by page in linear time.
+make equal media, so repeated rows repeat; an empty table gives no rows. Very long
+payloads are handled page by page in linear time; their media is one value, as
+long as the payload and 2 % more.
 """
 
 from __future__ import annotations
@@ -170,15 +172,36 @@ def features(media: bytes) -> tuple[bytes, str]:
     return got["payload"], said
 
 
+_BACK = [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]
+
+
+def _columns(fields: list[T.StructField], rows: list[tuple]) -> pa.Array:
+    kinds = {T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], type=kinds[f.dataType]) for k, f in enumerate(fields)], names=[f.name for f in fields])
+
+
 @F.arrow_udf(T.BinaryType())
 def _write(payload: pa.Array) -> pa.Array:
     return pa.array([None if x is None else write_ogg(x) for x in payload.to_pylist()], type=pa.binary())
 
 
-@F.arrow_udf(T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
+@F.arrow_udf(T.StructType(_BACK))
 def _read(media: pa.Array) -> pa.Array:
-    found = [(None, None) if x is None else features(x) for x in media.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([f[0] for f in found], type=pa.binary()), pa.array([f[1] for f in found], type=pa.string())], names=["payload", "feature"])
+    return _columns(_BACK, [(None, None) if x is None else features(x) for x in media.to_pylist()])
+
+
+_STORED = [T.StructField("media", T.BinaryType()), *_BACK]
+
+
+@F.arrow_udf(T.StructType(_STORED))
+def _stored(payload: pa.Array) -> pa.Array:
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None
+        media = write_ogg(data)
+        return media, *features(media)
+
+    return _columns(_STORED, [one(x.as_py()) for x in payload])
 
 
 def to_ogg(payload: Column) -> Column:
@@ -193,6 +216,12 @@ def from_ogg(media: Column) -> Column:
     return _read(media)
 
 
+def stored_ogg(payload: Column) -> Column:
+    """struct(media, payload, feature): a binary column written as Ogg media once, and what is read back from those bytes."""
+    small_batches(SparkSession.active())
+    return _stored(payload)
+
+
 def padded(text: Column) -> Column:
     """A text's UTF-8 bytes, filled up with spaces to a positive multiple of UNIT; null counts as empty."""
     data = F.coalesce(text, F.lit("")).cast("binary")
@@ -205,16 +234,15 @@ def op3_ogg(spark, sf_dir: str) -> DataFrame:
     """Every document stored as Ogg media, read back, and described."""
     docs = table(spark, sf_dir, "documents")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    stored = docs.select("doc_id", n.alias("n_bytes"), to_ogg(padded(F.col("text"))).alias("media"))
-    back = stored.withColumn("back", from_ogg(F.col("media")))
-    size = F.octet_length("back.payload")
+    back = docs.select("doc_id", n.alias("n_bytes"), stored_ogg(padded(F.col("text"))).alias("kept"))
+    size = F.octet_length("kept.payload")
     return back.select(
         "doc_id",
         "n_bytes",
         size.cast("long").alias("payload_bytes"),
-        F.sha2("back.payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring(F.col("back.payload"), size - 15, F.lit(16))).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.col("back.feature").alias("feature"),
+        F.sha2("kept.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("kept.payload"), size - 15, F.lit(16))).alias("tail_crc32"),
+        F.octet_length("kept.media").cast("long").alias("media_bytes"),
+        F.sha2("kept.media", 256).alias("media_sha256"),
+        F.col("kept.feature").alias("feature"),
     )
