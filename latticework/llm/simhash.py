@@ -17,11 +17,14 @@ Defined results:
   links like any other; fewer words than a shingle make one shingle;
 * a component's id is the smallest doc_id in it; null ids come last, and a
   component of only null ids has a null id;
-* repeated rows are members like others; other columns are kept.
+* repeated rows are members like others; an empty table gives no rows; other
+  columns are kept, but for those that the functions below say they add;
+* a very long text is hashed in pieces of ``AT_ONCE`` bytes.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -33,30 +36,107 @@ from pyspark.sql import types as T
 
 from .common import cut, small_batches, table, unwrapped, wrapped
 from .components import components
+from .fingerprints import BANDS, BINS, band_links
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Shingles whose bits are counted at once.
-AT_ONCE = 1 << 15
-
-
-def simhash64(data: bytes, shingle: int = SHINGLE) -> int:
+#: Bytes of a text whose shingles are hashed at once; a longer word makes a piece as long as itself.
+AT_ONCE = 1 << 18
+#: Variants of fingerprints in one task.
+VARIANTS_TOGETHER = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces_of(data: bytes, size: int):
+    """The parts of a text, cut at white space, of about ``size`` bytes each."""
+    at = 0
+    while at < len(data):
+        met = _BLANK.search(data, at + size)
+        end = met.start() if met else len(data)
+        yield data[at:end]
+        at = end
+
+
+def word_pieces(data: bytes, shingle: int, at_once: int | None = None):
+    """The lower-cased words of a text, piece by piece; each piece begins with the words that the last one's shingles hadn't begun with."""
+    before = []
+    for piece in pieces_of(data, at_once or AT_ONCE):
+        # For bytes, lower() changes A to Z only, and split() cuts at the bytes 9 to 13 and 32.
+        words = before + piece.lower().split()
+        yield words
+        before = words[max(0, len(words) - shingle + 1) :]
+
+
+def simhash64(data: bytes, shingle: int = SHINGLE, at_once: int | None = None) -> int:
     """The fingerprint of a text's UTF-8 bytes, unsigned."""
-    # For bytes, lower() changes A to Z only, and split() cuts at the bytes 9 to 13 and 32.
-    words = data.lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams = iter([b" ".join(words)])
-        n = 1
-    else:
-        grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)]))
+    digest, counts, total, words = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+    for words in word_pieces(data, shingle, at_once):
         n = len(words) - shingle + 1
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    hashes = np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=n)
-    for at in range(0, n, AT_ONCE):
-        part = hashes[at : at + AT_ONCE].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        if n > 0:
+            grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)]))
+            counts += _bits(np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=n))
+            total += n
+    if not total:
+        # Fewer words than a shingle: all that there are.
+        if not words:
+            return 0
+        counts, total = _bits(np.array([digest(b" ".join(words), SEED)], dtype="<u8")), 1
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+#: Words in the shingles of the second key, and probes that an empty bin makes.
+WIDE, TRIES = 5, 64
+_PROBES = np.random.default_rng(SEED).integers(0, BINS, (BINS, TRIES))
+
+
+def minhash(data: bytes, shingle: int = WIDE, at_once: int | None = None) -> tuple[bytes, np.ndarray]:
+    """The one-permutation MinHash of a text's shingles: the low byte of each bin, and a key for each band of whole bins.
+
+    Keys are made of all bits, so that texts of few shingles, whose bins are all
+    alike, don't meet by chance. A text without words has zeros and no keys.
+    """
+    digest, none = xxhash.xxh64_intdigest, np.uint64(0xFFFFFFFFFFFFFFFF)
+    least, found, words = np.full(BINS, none), False, []
+
+    def take(words: list[bytes], size: int) -> None:
+        of = np.fromiter((digest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+        h = np.zeros(len(words) - size + 1, dtype=np.uint64)
+        for k in range(size):
+            h = (h ^ of[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        np.minimum.at(least, (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), h)
+
+    for words in word_pieces(data, shingle, at_once):
+        if len(words) >= shingle:
+            take(words, shingle)
+            found = True
+    if not found:
+        if not words:
+            return bytes(BINS), np.zeros(0, dtype=np.uint64)
+        take(words, len(words))
+    full = least != none
+    filled, done = least.copy(), full.copy()
+    for k in range(TRIES):
+        if done.all():
+            break
+        at = _PROBES[:, k]
+        now = ~done & full[at]
+        filled[now] = least[at[now]]
+        done |= now
+    if not done.all():
+        # No probe has met a value: the next bin that has one.
+        where = np.flatnonzero(full)
+        rest = np.flatnonzero(~done)
+        filled[rest] = least[where[np.searchsorted(where, rest) % len(where)]]
+    rows, keys = filled.reshape(BANDS, -1), np.arange(BANDS, dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        keys = (keys ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return (filled & np.uint64(255)).astype(np.uint8).tobytes(), keys
 
 
 @F.arrow_udf(T.LongType())
@@ -65,6 +145,28 @@ def _simhash(data: pa.Array) -> pa.Array:
     return pa.array(found.view("<i8"), type=pa.int64())
 
 
+_BOTH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+@F.arrow_udf(_BOTH)
+def _both(data: pa.Array) -> pa.Array:
+    prints, packed, bands = [], [], []
+    for x in data:
+        text = x.as_py() or b""
+        prints.append(simhash64(text))
+        least, keys = minhash(text)
+        packed.append(least)
+        bands.append(keys.view(np.int64))
+    fp = np.array(prints, dtype="<u8").view("<i8")
+    return pa.StructArray.from_arrays([pa.array(fp, type=pa.int64()), pa.array(packed, type=pa.binary()), pa.array(bands, type=pa.list_(pa.int64()))], names=_BOTH.names)
+
+
+def both_prints(text: Column) -> Column:
+    """struct(fp, print, bands): the SimHash as a signed long, and the packed MinHash with the keys of its bands."""
+    small_batches(SparkSession.active())
+    return _both(text.cast("binary"))
+
+
 def simhash(text: Column) -> Column:
     """The fingerprint as a signed long."""
     small_batches(SparkSession.active())
@@ -72,7 +174,7 @@ def simhash(text: Column) -> Column:
 
 
 def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links that join all distinct fingerprints (column ``fp``) within ``radius`` bits of each other.
+    """Links that join all distinct fingerprints (column ``fp``, kept as a table) within ``radius`` bits of each other.
 
     ``radius`` is even, so that all fingerprints of one variant are within the
     radius of each other, and a star around the smallest loses no link.
@@ -81,21 +183,22 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("radius must be 0, 2 or 4")
     masks = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(64), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    variants = prints.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in signed])).alias("variant"))
+    # Each fingerprint becomes many rows: it is few bytes before that, so the number of tasks is said here.
+    parts = max(1, prints.count() * len(masks) // VARIANTS_TOGETHER)
+    variants = prints.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in signed])).alias("variant"))
     # A variant has no more rows than its ball, so a window over it is small.
     met = variants.withColumn("m", F.min("fp").over(Window.partitionBy("variant")))
     links = met.where("fp != m").select("fp", "m").distinct()
     return links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= radius)
 
 
-def print_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) of every fingerprint that is linked to another; ``rows`` has ``fp``."""
-    return components(ball_links(rows.select("fp").distinct(), radius))
+def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` (with ``fp``) and ``component_id``, the smallest ``value`` among the rows of linked fingerprints.
 
-
-def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """``rows`` (with ``fp``) and ``component_id``, the smallest ``value`` among the rows of linked fingerprints."""
-    groups = print_groups(rows, radius)
+    ``more`` are links between fingerprints besides those within the radius.
+    """
+    links = ball_links(cut(rows.select("fp").distinct()), radius)
+    groups = components(links if more is None else links.union(more))
     first = rows.groupBy("fp").agg(F.min(value).alias("_first"))
     linked = first.join(groups, F.col("fp") == F.col("node")).select("fp", "_first", "root")
     # The roots are fingerprints themselves, and not among the linked nodes.
@@ -112,13 +215,19 @@ def with_components(rows: DataFrame, value: str = "doc_id", radius: int = RADIUS
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest id.
 
-    Of rows that are equal in id and text one stays.
+    Fingerprints within ``radius`` bits find copies and very light edits. Texts
+    whose sets of five-word shingles have a resemblance of 0.8 are some 7 bits apart, too
+    many for balls; they are found by a second key, bands of one-permutation
+    MinHash fingerprints, and linked if these are alike. Of texts with
+    one SimHash one stands for all there. Of rows that are equal in id and text
+    one stays.
     """
     code = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     # Null ids come last.
     rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), code.alias("code"))
-    rows = cut(docs.select(rank.alias("rank"), simhash(F.col(text)).alias("fp")))
-    kept = with_components(rows, "rank", radius).where(F.col("rank") == F.col("component_id")).groupBy("rank").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = cut(docs.select(rank.alias("rank"), both_prints(F.col(text)).alias("both")).select("rank", "both.*"))
+    prints = cut(rows.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("print", "bands")).alias("least")).select("node", "least.*"))
+    kept = with_components(rows.select("rank", "fp"), "rank", radius, band_links(prints)).where(F.col("rank") == F.col("component_id")).groupBy("rank").agg(F.count(F.lit(1)).alias("_rows"))
     kept = cut(kept.select(F.col("rank.id").alias("_id"), F.col("rank.code").alias("_code"), "_rows"))
     whole = wrapped(docs)
     own = F.xxhash64(F.coalesce(F.col("_doc")[text], F.lit("")))
