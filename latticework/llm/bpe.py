@@ -13,7 +13,8 @@ its pieces are put together again in one row, as long as the text itself.
 
 Defined results: null counts as an empty text, which has no tokens; special
 tokens' strings are ordinary text; equal texts have equal results; repeated rows
-and other columns are kept.
+and other columns are kept; an empty table gives no rows. The result is one struct
+column whose name the caller gives; a column of that name is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import small_batches, table, unwrapped, wrapped
 
 #: Characters in a chunk, and those that it has in common with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Chunks that a text's cutting gives out at once.
+CHUNKS_TOGETHER = 16
 #: A pre-token is settled if the text goes on for so many characters after it.
 AHEAD = 3
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -108,11 +111,20 @@ def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
         kind = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array(heads, type=kind), pa.array(tails, type=kind)], names=MARKS.names)
 
-    count = F.ceil(F.char_length("text") / chunk).cast("int")
-    cut = long.select("key", "text", count.alias("of")).select("key", "of", "text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("n"))
-    cut = cut.select("key", "n", "of", F.substring(F.col("text"), F.col("n") * chunk + 1, F.lit(chunk + overlap)).alias("chunk"))
+    def chunks(batches):
+        """(key, n, of, chunk) of each text, in one pass through it, a few chunks at a time."""
+        for batch in batches:
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                text, name = value.as_py(), key.as_py()
+                of = -(-len(text) // chunk)
+                for first in range(0, of, CHUNKS_TOGETHER):
+                    ns = range(first, min(of, first + CHUNKS_TOGETHER))
+                    parts = [text[n * chunk : (n + 1) * chunk + overlap] for n in ns]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ns), pa.string()), pa.array(list(ns), pa.int32()), pa.array([of] * len(ns), pa.int32()), pa.array(parts, pa.string())], names=["key", "n", "of", "chunk"])
+
+    small_batches(long.sparkSession)
     # A long text's chunks go to as many tasks as there are.
-    cut = cut.repartition("key", "n")
+    cut = long.select("key", "text").mapInArrow(chunks, "key string, n int, of int, chunk string").repartition("key", "n")
     reaches_end = F.col("n") == F.col("of") - 1
     marked = cut.withColumn("marks", mark(F.col("chunk"), reaches_end))
     order = Window.partitionBy("key").orderBy("n")
@@ -125,8 +137,8 @@ def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
     return begins.select("key", "n", "of", piece.alias("piece"))
 
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with ``bpe``: a struct of ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` bytes."""
+def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, name: str = "bpe") -> DataFrame:
+    """``docs`` with a column ``name``: a struct of ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` bytes."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
     whole, own = wrapped(docs), F.col("_doc")[text]
     size = F.coalesce(F.char_length(own), F.lit(0))
@@ -142,16 +154,17 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, p
         # Pieces are cut between characters, so each is a text of its own.
         F.array_join(F.transform("all", lambda x: x["bpe"]["decoded"].cast("string")), "").cast("binary").alias("decoded"),
     )
-    met = parts.where("met").select("key", joined.alias("bpe"))
-    missed = parts.where("NOT met").select("key").join(once, "key").select("key", encode_columns(F.col("text"), path, pattern).alias("bpe"))
-    coded = met.unionByName(missed)
-    out = short.unionByName(long.join(coded, F.col("_key") == F.col("key")).select("_doc", "bpe"))
-    return unwrapped(out, docs.columns, bpe=F.col("bpe"))
+    coded = parts.select("key", F.when(F.col("met"), joined).alias("bpe"))
+    met = long.join(coded, F.col("_key") == F.col("key")).select("_doc", "bpe")
+    # Where some overlap has no common boundary the whole text is encoded; the others give the encoder nothing to do.
+    whole_text = encode_columns(F.when(F.col("bpe").isNull(), own), path, pattern)
+    out = short.unionByName(met.select("_doc", F.coalesce("bpe", whole_text).alias("bpe")))
+    return unwrapped(out, docs.columns, **{name: F.col("bpe")})
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
-    out = encode_texts(docs)
+    out = encode_texts(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
