@@ -34,7 +34,7 @@ def folder(spark, rows, tmp_path_factory):
     """A table folder: documents with columns that other code might use itself, and pages."""
     at = str(tmp_path_factory.mktemp("tables"))
     docs = spark.createDataFrame(rows, DOCS)
-    for name in ("row", "size", "fp", "key", "slot", "shard", "_id", "_doc", "bpe"):
+    for name in ("row", "size", "fp", "key", "slot", "shard", "_id", "_doc", "bpe", "_lines", "_dropped", "line_counts", "place", "target", "answer", "words"):
         docs = docs.selectExpr("*", f"'x' AS `{name}`")
     docs.repartition(3).write.parquet(f"{at}/documents.parquet")
     long = "<p>" + "x" * 1500 + "</p>"

@@ -1,6 +1,10 @@
 import base64
 import hashlib
 import math
+import re
+import struct
+import tracemalloc
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +77,74 @@ def test_fingerprints(spark, rows, folder):
         assert any(fits)
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_xxhash64(*values):
+    """Spark's hash of texts and longs: XXH64 of each, seeded by the one before; nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+def spark_hash(*values):
+    """Spark's hash of ints: 32-bit Murmur 3, seeded by the one before, signed."""
+    m, rot, h = 0xFFFFFFFF, lambda x, k: (x << k | x >> 32 - k) & 0xFFFFFFFF, 42
+    for v in values:
+        k = rot((v & m) * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+        h ^= 4
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> shift) * by & m
+    return h - (1 << 32) if h >> 31 else h
+
+
+def plain_fingerprint(text, bins=256, probes=fingerprints.PROBES):
+    """Bins' least hashes, empty ones filled along their probes, two digits of each."""
+    words = words_of(text)
+    if not words:
+        return "00" * bins
+    h = [signed(spark_xxhash64(w)) for w in words]
+    least = {}
+    for i in range(max(1, len(h) - 4)):
+        x = signed(spark_xxhash64(*h[i : i + 5]))
+        b = (x >> 56) + 128
+        least[b] = min(least.get(b, 1 << 80), x)
+    out = []
+    for b in range(bins):
+        for a in range(probes):
+            if b in least:
+                break
+            b0 = spark_hash(len(out), a) & bins - 1
+            if b0 in least:
+                b = b0
+        if b not in least:
+            b = min(least, key=lambda j: (spark_hash(len(out), j, probes), j))
+        out.append(f"{least[b] & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_bit_for_bit(spark, rows, folder):
+    texts = {r[1] or "" for r in rows} | {"one", "a b c d", "a b c d e f", " ".join(f"w{i}" for i in range(9000))}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.f for r in df.select("t", fingerprints.fingerprint(F.col("t")).alias("f")).collect()}
+    assert got == {t: plain_fingerprint(t) for t in texts}
+
+
+TOP = (1 << 63) - 1
+
+
+@pytest.mark.parametrize("ids", [[-9 * 10**18, 5, 9 * 10**18], [-TOP - 1, -TOP, 0, TOP - 1, TOP], [*range(700), TOP], [None] * 30, [None, 3, None], [4] * 40 + [5, 6]])
+def test_next_document_for_any_ids(spark, ids):
+    docs = [(i, f"text {k} of {i}") for k, i in enumerate(ids)]
+    got = Counter((r.k, r.t, r.next.t) for r in fingerprints.cyclic_next(spark.createDataFrame(docs, "k long, t string"), "k", ["t"], "t").collect())
+    down = order(docs)
+    assert got == Counter((*d, down[(i + 1) % len(down)][1]) for i, d in enumerate(down))
+
+
 def test_likeness_has_no_bias(spark):
     rng = np.random.default_rng(1)
     pairs = []
@@ -130,6 +202,52 @@ def test_mixing(spark, rows, folder):
     assert all(abs(n - t) <= 0.5 for (_, t), n in taken.items())
 
 
+def test_each_document_gets_what_its_slots_take(spark, folder, rows):
+    """The mix word by word: each source's documents in the order of their hashes, read again and again until its slots are full."""
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(words_of(r[1])) for r in rows if r[3] == s) for s in names]
+    want = Counter()
+    pieces = common.power_of_two(len(rows) / mixing.PIECE_ROWS, mixing.MAX_PIECES)
+    assert pieces == 1
+    for s, of, target in zip(names, sizes, plain_targets(sizes), strict=True):
+        docs = []
+        for r in rows:
+            if r[3] == s:
+                n, code = len(words_of(r[1])), signed(spark_xxhash64(r[1]))
+                # The hash of a seed (an int), the id, the number of words and the text's hash.
+                docs.append((signed(spark_ints_xxhash64(mixing.SEED, r[0], n, code)), (r[0] is not None, r[0] or 0), n, code, r[0]))
+        docs.sort()
+        left, taken = min(2 * of, round(target)), [0] * len(docs)
+        while left:
+            for k, d in enumerate(docs):
+                got = min(left, d[2])
+                taken[k] += got
+                left -= got
+        want.update((d[4], d[2], t) for d, t in zip(docs, taken, strict=True))
+    assert Counter((r.doc_id, r.size, r.taken) for r in mixing.op2_mixing(spark, folder).collect()) == want
+
+
+def spark_ints_xxhash64(first, *longs):
+    """Spark's hash of an int (4 bytes) and then longs."""
+    h = xxhash.xxh64_intdigest(first.to_bytes(4, "little", signed=True), 42)
+    for v in longs:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], 3 + k) for k in range(12)], "id long, source string, size long")
+    for name in ("place", "slot", "target", "offset", "words", "_place", "_size", "_doc", "_row", "_block", "mine"):
+        df = df.withColumn(name, F.lit("mine"))
+    out = mixing.mix(df, "source", "size", ["id"], block=4)
+    added = {"place", "slot", "target", "words", "row", "source_size", "epoch", "first"}
+    assert set(out.columns) == set(df.columns) | added and len(out.columns) == len(set(out.columns))
+    for r in out.collect():
+        assert all(r[c] == "mine" for c in df.columns if c not in {"id", "source", "size"} | added)
+        assert r.words >= 0 and r.target > 0
+
+
 def test_schedule_keeps_shares_at_every_prefix(spark):
     taken = [9000, 3000, 700, 0, 1]
     rows = mixing.schedule(spark, taken, 16).orderBy("slot").collect()
@@ -194,31 +312,87 @@ def test_damaged_ogg():
             ogg.read_ogg(bad)
 
 
+CRC = [slow_crc(bytes([b])) for b in range(256)]
+
+
+def plain_ogg(media):
+    """Payload and description of such media, read without the module: page by page, checksums by table."""
+    packets, heads, pages, at = defaultdict(list), {}, 0, 0
+    while at < len(media):
+        magic, _, kind, granule, serial, number, crc, n = struct.unpack("<4sBBqIIIB", media[at : at + 27])
+        lacing = media[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        page = media[at : at + 22] + bytes(4) + media[at + 26 : end]
+        c = 0
+        for b in page:
+            c = (c << 8 & 0xFFFFFFFF) ^ CRC[c >> 24 ^ b]
+        assert magic == b"OggS" and c == crc
+        pages, body, p = pages + 1, at + 27 + n, packets[serial]
+        whole = not kind & 1
+        for size in lacing:
+            if whole:
+                p.append([b"", None])
+            p[-1][0] += media[body : body + size]
+            body += size
+            whole = size < 255
+            if whole:
+                p[-1][1], last = None, p[-1]
+        if any(size < 255 for size in lacing):
+            last[1] = granule
+        at = end
+    samples = []
+    for p in packets.values():
+        _, rate, size, turn, streams = struct.unpack("<4sIIII", p[0][0])
+        for k, (data, granule) in enumerate(p[1:]):
+            start = (k * streams + turn) * size
+            # The granule position says where a page's last packet ends.
+            assert granule is None or granule == start + len(data)
+            samples.append((start, data))
+    samples.sort()
+    payload = b"".join(d for _, d in samples)
+    wave = [b - 128 for b in payload]
+    mean, rms = (sum(wave) / len(wave), (sum(x * x for x in wave) / len(wave)) ** 0.5) if wave else (0.0, 0.0)
+    turns = sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:]))
+    times = sha(",".join(str(s * 1_000_000 // rate) for s, _ in samples))[:16]
+    return payload, f"streams={len(packets)};pages={pages};packets={len(samples)};micros={len(payload) * 1_000_000 // rate};times={times};mean={mean:.4f};rms={rms:.4f};crossings={turns}"
+
+
 def test_ogg(spark, rows, folder):
-    got = ogg.op3_ogg(spark, folder).collect()
-    want = Counter()
+    want, texts = Counter(), {r[1] or "" for r in rows}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    media = {r.text: bytes(r.m) for r in df.select("text", ogg.to_ogg(ogg.padded(F.col("text"))).alias("m")).collect()}
     for r in rows:
         data = (r[1] or "").encode()
-        whole = data.ljust(max(1, -(-len(data) // 192)) * 192)
-        media = ogg.write_ogg(whole)
-        want[(r[0], len(data), len(whole), sha(whole), zlib.crc32(whole[-16:]), len(media), sha(media), ogg.features(media)[1])] += 1
-    assert Counter(map(tuple, got)) == want
+        whole, kept = data.ljust(max(1, -(-len(data) // 192)) * 192), media[r[1] or ""]
+        payload, feature = plain_ogg(kept)
+        assert payload == whole
+        want[(r[0], len(data), len(whole), sha(whole), zlib.crc32(whole[-16:]), len(kept), sha(kept), feature)] += 1
+    assert Counter(map(tuple, ogg.op3_ogg(spark, folder).collect())) == want
+
+
+def test_media_is_written_once_and_read_back_from_those_bytes(spark):
+    df = spark.createDataFrame([(b"a" * 3000,), (b"",), (None,)], "p binary")
+    for r in df.select("p", ogg.stored_ogg(F.col("p")).alias("s")).collect():
+        assert r.s.payload == r.p and (r.p is None or ogg.features(bytes(r.s.media)) == (bytes(r.s.payload), r.s.feature))
+    assert df.select(ogg.from_ogg(ogg.to_ogg(F.col("p"))).alias("b")).where("b.payload = X''").count() == 1
 
 
 # 4
 
 
 def test_line_dedup(spark, folder, rows):
-    docs = spark.createDataFrame([(i, "h", f" hot \nown {i}\n\nhot\nrare" if i < 8 else f"own {i}\r\nhot {i}", "keep") for i in range(20)] + [(90, None, "hot", "k"), (91, "h", None, "k"), (92, "h", "", "k")], "doc_id long, source string, text string, _lines string")
-    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs, ratio=0.3, min_pages=3).collect()}
-    assert out[0].text == "own 0\n" and (out[0]["_lines"], out[0]["_dropped"]) == (5, 3)
-    assert out[9].text == "own 9\r\nhot 9" and out[90].text == "hot" and out[91].text is None and out[92].text == ""
-    assert (out[91]["_lines"], out[92]["_lines"]) == (0, 1)
+    docs = spark.createDataFrame([(i, "h", f" hot \nown {i}\n\nhot\nrare" if i < 8 else f"own {i}\r\nhot {i}", "keep") for i in range(20)] + [(90, None, "hot", "k"), (91, "h", None, "k"), (92, "h", "", "k")], "doc_id long, source string, text string, _lines string").withColumn("_dropped", F.lit("mine"))
+    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs, ratio=0.3, counts="n").collect()}
+    assert out[0].text == "own 0\n" and tuple(out[0]["n"]) == (5, 3) and (out[0]["_lines"], out[0]["_dropped"]) == ("keep", "mine")
+    # The only page of the null host has nothing but boilerplate.
+    assert out[9].text == "own 9\r\nhot 9" and out[90].text == "" and out[91].text is None and out[92].text == ""
+    assert (out[91]["n"].lines, out[92]["n"].lines) == (0, 1)
+    assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs, ratio=0.3, min_pages=2).collect()}[90] == "hot"
     got = Counter((r.doc_id, r.source, r.n_lines, r.n_dropped, r.text) for r in line_dedup.op4_line_dedup(spark, folder).collect())
     assert got == brute_lines(rows)
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=1):
     pages, host = defaultdict(Counter), Counter()
     for r in rows:
         host[r[3]] += 1
@@ -227,11 +401,24 @@ def brute_lines(rows):
     out = Counter()
     for r in rows:
         lines = [] if r[1] is None else r[1].split("\n")
-        kept = [x for x in lines if not (pages[r[3]][x.strip(BLANKS)] >= 5 and pages[r[3]][x.strip(BLANKS)] > 0.1 * host[r[3]])]
+        kept = [x for x in lines if not (pages[r[3]][x.strip(BLANKS)] >= least and pages[r[3]][x.strip(BLANKS)] > 0.1 * host[r[3]])]
         out[(r[0], r[3], len(lines), len(lines) - len(kept), r[1] if r[1] is None else "\n".join(kept))] += 1
     return out
 
 
+def test_hosts(spark):
+    urls = {"http://E.example/a": "e.example", "https://u:p@h.example:80/x@y": "h.example", "ftp://h": "h", "//h/a": None, "h.example/a": None, "http://[::1]:8/": "[::1]", None: None, "": None, "http:///a": None, "http://h?q#f": "h"}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.h for r in df.select("u", line_dedup.host_of(F.col("u")).alias("h")).collect()} == urls
+
+
+def test_line_dedup_of_pages(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    host = lambda u: re.match(r"http://([^/]+)", u)[1] if u and u.startswith("http://") else None
+    want = brute_lines([(p.page_id, p.html, None, host(p.url)) for p in pages], 2)
+    assert Counter(map(tuple, line_dedup.line_dedup_pages(spark, folder).collect())) == want
+
+
 def test_line_dedup_without_broadcast(spark, folder, rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
     got = Counter((r.doc_id, r.source, r.n_lines, r.n_dropped, r.text) for r in line_dedup.op4_line_dedup(spark, folder).collect())
@@ -323,7 +510,15 @@ def test_token_counts_equal_a_library(spark, folder, rows):
 def test_a_full_cache_gives_the_same_counts(monkeypatch):
     monkeypatch.setattr(unigram, "CACHED", 2)
     counter = unigram.CountViterbi({"▁": -3.0, "a": -1.0}, False)
-    assert [counter.count("a aa aaa a b") for _ in range(3)] == [13] * 3 or len(counter) <= 2
+    text = "a aa aaa a b"
+    fresh = unigram.CountViterbi({"▁": -3.0, "a": -1.0}, False)
+    monkeypatch.setattr(unigram, "CACHED", 1 << 19)
+    want = fresh.count(text)
+    monkeypatch.setattr(unigram, "CACHED", 2)
+    # Five marks, seven letters a, and one character that is no piece.
+    assert want == 5 + 7 + 1
+    for _ in range(3):
+        assert counter.count(text) == want and len(counter) <= 2
 
 
 # 7
@@ -336,7 +531,28 @@ def slow_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints, ids):
+@pytest.mark.parametrize("at_once", [1, 7, 64, 1 << 18])
+def test_fingerprints_of_long_texts_come_in_pieces(at_once):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abÉ"), int(rng.integers(1, 9)))) for _ in range(50)]
+    for text in ["", " ", "A", "a b", "a b c", "x" * 500, " \n".join(rng.choice(words, 300)), "  lead " + "y" * 90 + " tail\t"]:
+        assert simhash.simhash64(text.encode(), at_once=at_once) == slow_simhash(text)
+        assert b"".join(simhash.pieces_of(text.encode(), at_once)) == text.encode()
+
+
+def test_a_long_text_takes_bounded_memory():
+    data = b"word " * 800_000
+    tracemalloc.start()
+    simhash.simhash64(data)
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.reset_peak()
+    f = langid.Filters(["a", "b"], [np.array([1, 2], dtype=np.uint64)] * 2, 1 << 10)
+    f.predict(data.decode())
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
+
+
+def brute_components(prints, ids, alike=lambda i, j: False):
     parent = list(range(len(prints)))
 
     def find(x):
@@ -346,7 +562,7 @@ def brute_components(prints, ids):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or alike(i, j):
                 parent[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
@@ -382,9 +598,56 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_groups(texts, ids):
+    """brute_components() with all pairs compared by the second key too."""
+    keys = [simhash.minhash((t or "").encode()) for t in texts]
+
+    def alike(i, j):
+        (a, a_bands), (b, b_bands) = keys[i], keys[j]
+        same = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+        return bool(set(a_bands.tolist()) & set(b_bands.tolist())) and (same - 1 / 256) / (1 - 1 / 256) >= fingerprints.NEAR
+
+    return brute_components([slow_simhash(t) for t in texts], ids, alike)
+
+
+def test_second_key(spark):
+    """Near copies of resemblance 0.8 and more are found, and unlike texts, short ones too, stay."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [[word() for _ in range(int(rng.integers(60, 400)))] for _ in range(60)]
+    texts, near = [" ".join(w) for w in base], {}
+    for k, w in enumerate(base):
+        other = list(w)
+        # An edit of a word changes five shingles.
+        for at in rng.choice(len(w), max(1, len(w) // 60), replace=False):
+            other[at] = word()
+        a, b = shingles(" ".join(w)), shingles(" ".join(other))
+        if len(a & b) / len(a | b) >= 0.8:
+            near[len(texts)] = k
+            texts.append(" ".join(other))
+    texts += [f"{word()} {word()}" for _ in range(300)] + [word() for _ in range(300)]
+    assert len(near) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert sum(k not in stay for k in near) >= 0.95 * len(near)
+    assert set(range(len(texts))) - set(near) <= stay
+    for k, of in near.items():
+        (a, _), (b, _) = (simhash.minhash(texts[i].encode(), at_once=97) for i in (k, of))
+        true = len(shingles(texts[k]) & shingles(texts[of])) / len(shingles(texts[k]) | shingles(texts[of]))
+        assert abs(sum(x == y for x, y in zip(a, b, strict=True)) / 256 - true) < 0.12
+
+
+@pytest.mark.parametrize("at_once", [1, 64, 1 << 18])
+def test_second_key_in_pieces(at_once):
+    for text in ["", "a", "a b c d", "a b c d e", "x y " * 200, "  lead " + "y" * 90 + " tail\t"]:
+        one, other = simhash.minhash(text.encode()), simhash.minhash(text.encode(), at_once=at_once)
+        assert one[0] == other[0] and one[1].tolist() == other[1].tolist()
+        assert len(one[0]) == 256 and len(one[1]) == (32 if text.split() else 0)
+
+
 def test_one_document_of_each_group_stays(spark, folder, rows):
     out = simhash.drop_near_copies(spark.read.parquet(f"{folder}/documents.parquet")).collect()
-    roots = brute_components([slow_simhash(r[1]) for r in rows], [r[0] for r in rows])
+    roots = brute_groups([r[1] for r in rows], [r[0] for r in rows])
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted({c for c in roots if c is not None})
     assert all(r.fp == r.row == "x" for r in out)
 
@@ -420,8 +683,15 @@ def test_records_are_whole(spark, folder):
     assert Counter((r.page_id, bytes(r.payload).decode()) for r in records) == pages
     for r in records:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-        assert len(rest) == length + 4 and rest.endswith(b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert len(rest) == int(fields[b"Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+        http, _, body = rest[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {r.payload_bytes}".encode() in http.split(b"\r\n")
+        assert body == (b"" if r.record_type == "revisit" else bytes(r.payload))
+    ids = [re.search(rb"WARC-Record-ID: (.*?)\r\n", bytes(r.header))[1] for r in records]
+    assert len(set(ids)) == len(ids)
+    said = {re.search(rb"WARC-Refers-To: (.*?)\r\n", bytes(r.header))[1] for r in records if r.record_type == "revisit"}
+    assert said <= {i for i, r in zip(ids, records, strict=True) if r.record_type == "response"}
     assert spark.read.parquet(f"{path}/blobs").count() == len({h for _, h in pages})
 
 
@@ -431,12 +701,27 @@ def test_warc_files(spark, folder, tmp_path):
     warc.write_files(spark, path, str(tmp_path / "w"), 7)
     got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_files(spark, str(tmp_path / "w")).collect())
     assert got == Counter({(p, k, to, d): n for (p, _, d, k, to), n in brute_pages(spark, folder).items()})
-    assert all(hashlib.sha1(bytes(r.block)).hexdigest() == r.payload_digest for r in warc.read_files(spark, str(tmp_path / "w")).where("record_type = 'response'").collect())
+    assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in warc.read_files(spark, str(tmp_path / "w")).where("record_type = 'response'").collect())
     for bad in (b"junk\r\n\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc.parse_records(bad))
 
 
+URLS = ["http://e/\u2028WARC-Payload-Digest: sha1:0", "http://e/\u2028WARC-Refers-To: <urn:page:9/x>", "http://e/\u0085b", "http://e/\u2029WARC-Type: revisit", "a\nWARC-Type: revisit", "a\r\n\r\nHTTP/1.1 500", "\r", " http://e/ ", "WARC-Type: revisit", "http://e/%0A", "é" * 80 + "\n", "x: y: z", "\\r\\n$1", None, ""]
+
+
+def test_urls_are_kept_byte_by_byte(spark, tmp_path):
+    rows = [(i, u, "<p>" + "z" * (1200 if i % 2 else 3)) for i, u in enumerate(URLS)]
+    path = warc.new_archive(spark)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_archive(spark, path).collect()
+    best = max(i for i, _, html in rows if len(html) >= 1000)
+    assert sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in got) == sorted((i, u or None, *(("response", None) if len(h) < 1000 or i == best else ("revisit", best))) for i, u, h in rows)
+    assert all(bytes(r.payload).decode() == rows[r.page_id][2] for r in got)
+    warc.write_files(spark, path, str(tmp_path / "w"))
+    assert {r.page_id: r.url for r in warc.read_files(spark, str(tmp_path / "w")).collect()} == {i: u or None for i, u, _ in rows}
+
+
 def test_damage_is_found(spark, folder):
     path = warc.new_archive(spark)
     warc.write_archive(spark.read.parquet(f"{folder}/pages.parquet"), path)
@@ -525,6 +810,54 @@ def test_language_id(spark, folder, rows):
     assert all(r.lang_pred in ("en", "fr", "und") for r in got)
 
 
+def plain_grams(text):
+    """N-grams of five bytes of the letters' runs, by a scan of the characters."""
+    out = " "
+    for c in text.lower():
+        out += c if unicodedata.category(c)[0] == "L" else ("" if out[-1] == " " else " ")
+    data = out.encode() if out[-1] == " " else (out + " ").encode()
+    return [data[i : i + 5] for i in range(max(1, len(data) - 4))]
+
+
+def test_predictions_equal_those_by_sets(spark, folder, rows):
+    """Sets of n-grams in place of filters, over the same texts: all labelled ones, as they are few."""
+    known, texts = defaultdict(set), Counter()
+    for r in rows:
+        if r[0] is not None and r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            known[r[2]].update(plain_grams(r[1]))
+            texts[r[2]] += 1
+    order = sorted(known, key=lambda x: (-texts[x], x))
+    got = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.op10_language_id(spark, folder).collect()}
+    want = set()
+    for r in rows:
+        if not r[1] or not any(unicodedata.category(c)[0] == "L" for c in r[1]):
+            want.add((r[0], "und", 0.0))
+            continue
+        grams = plain_grams(r[1])
+        share = [sum(g in known[x] for g in grams) / len(grams) for x in order]
+        want.add((r[0], order[share.index(max(share))], round(max(share), 9)))
+    close = {(d, x): s for d, x, s in want}
+    assert {(d, x) for d, x, _ in got} == set(close)
+    # What filters let through falsely is all that scores differ by.
+    assert all(abs(s - close[d, x]) < 1e-3 for d, x, s in got if d is not None)
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 1 << 16])
+def test_pieces_have_the_grams_of_the_whole_text(size):
+    for text in ["abc", "", "12", "Hello, wörld -- again  x", "a" * 300, "12ab!?cd" * 30, " é\n\nÉ" * 40, "x1" * 50]:
+        got = [int(g).to_bytes(5, "big").rstrip(b"\0") for part in langid.gram_pieces(text, size) for g in part]
+        assert got == plain_grams(text)
+
+
+def test_the_sample_is_bounded(spark):
+    texts = [(i, f"{'ab' if i % 2 else 'cd'}{i:03d} " * 10 if i else "z" * 5000, "x", "s", 1) for i in range(60)]
+    whole = langid.train(spark.createDataFrame(texts, DOCS), "doc_id", "text", "lang")
+    part = langid.train(spark.createDataFrame(texts, DOCS), "doc_id", "text", "lang", sample_chars=400)
+    long = np.array([int.from_bytes(b"zzzzz", "big")], dtype=np.uint64)
+    assert whole.counts(long)[0] == 1 and part.counts(long)[0] == 0
+    assert np.count_nonzero(part.table) < np.count_nonzero(whole.table)
+
+
 @pytest.mark.skipif(not oracle.HAVE, reason="no test tables")
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
