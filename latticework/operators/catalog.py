@@ -7,10 +7,11 @@ value)``. Group paths end in ``/`` when walked, dataset paths don't.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import base_name, parent_path, path_problem
+from ..plans.session import cut
 
 
 def with_path_parts(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -18,10 +19,30 @@ def with_path_parts(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def walk(objects: DataFrame) -> DataFrame:
-    """Objects with ``walk_path`` and ``depth``; sorting by ``walk_path`` gives depth-first order, children by name."""
+    """Objects with ``walk_path``, ``depth``, and ``walk_key``, by which they sort depth first, children by the bytes of their names.
+
+    In the key a path's parts are joined by a byte below all bytes of names, so that
+    a group comes before what is in it, and that before siblings with longer names.
+    """
     bare = F.rtrim("path", F.lit("/"))
     shown = F.when(F.col("kind") == "group", F.concat(bare, F.lit("/"))).otherwise(F.col("path"))
-    return objects.withColumn("walk_path", shown).withColumn("depth", (F.length(bare) - F.length(F.replace(bare, F.lit("/"), F.lit("")))).cast("int"))
+    depth = (F.length(bare) - F.length(F.replace(bare, F.lit("/"), F.lit("")))).cast("int")
+    return objects.withColumn("walk_path", shown).withColumn("depth", depth).withColumn("walk_key", F.replace(bare, F.lit("/"), F.lit("\0")))
+
+
+def walk_ordinals(objects: DataFrame, name: str = "place") -> DataFrame:
+    """walk() with each object's place in the walk, from 0.
+
+    Places among siblings and sizes of subtrees are not needed: rows are dealt to
+    ranges of the key by Spark's sort, numbered in each, and ranges' counts added.
+    """
+    rows = walk(objects).repartitionByRange("walk_key").sortWithinPartitions("walk_key", "object_id")
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counted = cut(rows)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range, as many as there are partitions.
+    starts = counted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return counted.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def visible(objects: DataFrame, links: DataFrame) -> DataFrame:

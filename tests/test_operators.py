@@ -141,7 +141,7 @@ def test_container(spark, tmp_path):
     box.set_attribute("/g/d", "n", 3)
     box.delete_attribute("/g/d", "n")
     box = Container(spark, str(tmp_path / "c"))
-    assert [r.walk_path for r in box.walk().orderBy("walk_path").collect()] == ["/", "/g/", "/g/d", "/g/same"]
+    assert [r.walk_path for r in box.walk().orderBy("walk_key").collect()] == ["/", "/g/", "/g/d", "/g/same"]
     assert box.attribute("/g/d", "unit") == ["a", "b"] and box.attributes.count() == 1
     got = box.select("/g/d", Hyperslab((1, 2), (4, 3), (5, 10)), ("i", "j"))
     assert sorted(r.v for r in got.collect()) == [30.0 * i + j for i in (1, 6, 11, 16) for j in (2, 12, 22)]
@@ -160,7 +160,10 @@ def test_container(spark, tmp_path):
     assert box.info().first().info == "float64, 2D array [20 x 30], chunked [10 10]"
     box.resize("/g/d", (40, 30))
     box.compact("/g/d")
-    assert box.cells("/g/d").count() == 600
+    grown = box.cells("/g/d")
+    assert grown.count() == 1200 and grown.where("v <> 0").count() == 599
+    assert box.cells("/g/same").count() == 1200 and box.attribute("/g/same", "unit") == ["a", "b"]
+    assert [r.v for r in box.select("/g/same", Hyperslab((19, 29), (2, 1)), ("i", "j")).orderBy("i").collect()] == [599.0, 0.0]
     for bad in (lambda: box.add_group("/no/way"), lambda: box.add_group("/g"), lambda: box.add_group("g"), lambda: box.add_link("/z", "hard", "/nowhere"), lambda: box.add_link("/z", "external", "/x", "../y"), lambda: box.resize("/g/d", (4, 31))):
         with pytest.raises(ValueError):
             bad()
@@ -171,6 +174,59 @@ def test_container(spark, tmp_path):
     assert catalog.dangling(box.objects, box.links).count() == 1
 
 
+def test_a_shrunk_dataset_has_lost_its_cells(spark, tmp_path):
+    box = Container.create(spark, str(tmp_path / "c"))
+    box.write_dataset("/d", spark.range(10).selectExpr("id AS i", "id + 1 AS v"), "int64", (10,), ("i",), chunk=(4,), maxdims=(None,))
+    for n, kept in ((4, 4), (12, 4), (3, 3), (5, 3)):
+        box.resize("/d", (n,))
+        assert [r.v for r in Container(spark, str(tmp_path / "c")).cells("/d").orderBy("i").collect()] == [i + 1 if i < kept else 0 for i in range(n)]
+    box.compact("/d")
+    assert [r.v for r in box.select("/d", Hyperslab((1,), (4,)), ("i",)).orderBy("i").collect()] == [2, 3, 0, 0]
+
+
+def test_wrong_cells_leave_no_dataset(spark, tmp_path):
+    box = Container.create(spark, str(tmp_path / "c"))
+    for rows in ("range(3)", "(SELECT 0 AS id UNION ALL SELECT id FROM range(9))", "range(11)", "range(1, 11)"):
+        with pytest.raises(ValueError, match="each place once"):
+            box.write_dataset("/d", spark.sql(f"SELECT id AS i, id AS v FROM {rows}"), "int64", (10,), ("i",))
+    with pytest.raises(Exception):
+        box.write_dataset("/d", spark.range(10).selectExpr("id AS i", "raise_error('no') AS v"), "int64", (10,), ("i",))
+    assert box.objects.count() == 1 and Container(spark, str(tmp_path / "c")).objects.count() == 1
+
+
+def test_paths_lead_through_links(spark, tmp_path):
+    other = Container.create(spark, str(tmp_path / "other"))
+    other.write_dataset("/x", spark.range(3).selectExpr("id AS i", "id AS v"), "int64", (3,), ("i",))
+    box = Container.create(spark, str(tmp_path / "c"))
+    box.add_group("/g")
+    box.write_dataset("/g/d", spark.range(5).selectExpr("id AS i", "id AS v"), "int64", (5,), ("i",))
+    box.set_attribute("/g", "of", 1)
+    for path, kind, to, file in (("/h", "hard", "/g", None), ("/s", "soft", "/t", None), ("/t", "soft", "/h/d", None), ("/e", "external", "/x", "other"), ("/loop", "soft", "/pool", None), ("/pool", "soft", "/loop", None), ("/lost", "soft", "/no", None)):
+        box.add_link(path, kind, to, file)
+    assert [box.cells(p).count() for p in ("/g/d", "/h/d", "/s", "/t", "/e")] == [5, 5, 5, 5, 3]
+    assert box.attribute("/h", "of") == 1
+    with pytest.raises(KeyError):
+        box.cells("/lost")
+    with pytest.raises(ValueError, match="links"):
+        box.cells("/loop")
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    one = Container.create(spark, str(tmp_path / "c"))
+    two = Container(spark, str(tmp_path / "c"))
+    one.add_group("/a")
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.add_group("/b")
+
+
+def test_a_walk_is_depth_first_in_the_order_of_bytes(spark):
+    paths = ["/", "/run", "/run/x", "/run.1", "/run-2", "/run 3", "/run/x.y", "/run/x/a", "/a", "/Z", "/é", "/run0"]
+    objects = spark.createDataFrame([(p, "group", i, "", "") for i, p in enumerate(paths)], "path string, kind string, object_id long, parent string, name string")
+    want = sorted(paths, key=lambda p: p.rstrip("/").encode().split(b"/"))
+    assert [r.path for r in catalog.walk(objects).orderBy("walk_key").collect()] == want
+    assert {r.path: r.place for r in catalog.walk_ordinals(objects).collect()} == {p: k for k, p in enumerate(want)}
+
+
 def test_attribute_types():
     assert [attribute_type(v) for v in (1, 1.5, "a", [1, 2], ["x"])] == ["int64", "float64", "string", "array:int64", "array:string"]
     for bad in (True, None, [], [1, "a"], {}):
