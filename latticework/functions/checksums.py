@@ -13,13 +13,24 @@ def fletcher32(data: Column) -> Column:
 
     Both sums have a closed form, so nothing is carried from word to word.
     """
-    digits = F.hex(F.when(F.octet_length(data) % 2 == 1, F.concat(data, F.lit(b"\0"))).otherwise(data))
-    n = (F.length(digits) / 4).cast("long")
-    words = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct(k.alias("k"), F.conv(F.concat(F.substring(digits, (k * 4 + 3).cast("int"), F.lit(2)), F.substring(digits, (k * 4 + 1).cast("int"), F.lit(2))), 16, 10).cast("long").alias("w")))
     zero = F.lit(0).cast("long")
-    first = F.aggregate(words, zero, lambda s, x: (s + x["w"]) % 65535)
-    second = F.aggregate(words, zero, lambda s, x: (s + (n - x["k"]) % 65535 * x["w"]) % 65535)
-    return F.when(n == 0, 0).otherwise(second * 65536 + first).cast("long")
+
+    def sums(even: Column) -> Column:
+        n = F.floor(F.octet_length(even) / 2).cast("long")
+
+        def word(k: Column) -> Column:
+            # Two bytes where they lie: no more than these is copied.
+            high_first = F.conv(F.hex(F.substring(even, (k * 2 + 1).cast("int"), F.lit(2))), 16, 10).cast("long")
+            return F.struct(k.alias("k"), (F.pmod(high_first, F.lit(256)) * 256 + F.shiftright(high_first, 8)).alias("w"))
+
+        words = F.transform(F.sequence(zero, F.greatest(n, F.lit(1)) - 1), word)
+        both = F.struct(zero.alias("a"), zero.alias("b"))
+        total = F.aggregate(words, both, lambda s, x: F.struct(((s["a"] + x["w"]) % 65535).alias("a"), ((s["b"] + (n - x["k"]) % 65535 * x["w"]) % 65535).alias("b")))
+        return F.when(n == 0, zero).otherwise(total["b"] * 65536 + total["a"])
+
+    even = F.when(F.octet_length(data) % 2 == 1, F.concat(data, F.lit(b"\0"))).otherwise(data)
+    # As a lambda's variable the bytes are made once, and not again for each word.
+    return F.transform(F.array(even), sums)[0].cast("long")
 
 
 _MASK = 0xFFFFFFFF

@@ -76,6 +76,12 @@ def resolve(objects: DataFrame, links: DataFrame) -> DataFrame:
     return links.where("kind = 'soft'").join(objects.select(F.col("path").alias("target_path"), "object_id"), "target_path").select("path", "target_path", "object_id")
 
 
+def dereference(rows: DataFrame, objects: DataFrame, reference: str) -> DataFrame:
+    """``rows`` with ``path``, that of the object that a reference (an object's id) leads to; null if it leads nowhere."""
+    named = objects.select(F.col("object_id").alias("_id"), "path")
+    return rows.join(named, F.col(reference) == F.col("_id"), "left").drop("_id", reference)
+
+
 def orphans(objects: DataFrame, new: DataFrame) -> DataFrame:
     """New paths whose parent group doesn't exist."""
     groups = objects.where("kind = 'group'").select(F.col("path").alias("parent"))

@@ -60,10 +60,17 @@ def trailing(events: DataFrame, keys: Sequence[str], window_s: float = WINDOW_S,
     frame = by.rangeBetween(-int(window_s * 1_000_000), 0)
     timed = events.withColumn("_us", micros(F.col("ts")))
     if capacity is not None:
-        last = Window.partitionBy(*keys).orderBy("_us", "seq").rowsBetween(-(capacity - 1), 0)
-        old = F.col("_us") - F.lit(int(window_s * 1_000_000))
-        held = F.filter(F.collect_list(F.struct("_us", "op")).over(last), lambda e: e["_us"] >= old)
-        return timed.withColumn("n", F.size(held)).withColumn("n_delete", F.size(F.filter(held, lambda e: e["op"] == "delete"))).drop("_us")
+        # What the window has is what there was up to now without what is too old, and what the
+        # capacity leaves of it is a difference of running sums: nothing is gathered for an event.
+        order = Window.partitionBy(*keys).orderBy("_us", "seq")
+        old = by.rangeBetween(Window.unboundedPreceding, -int(window_s * 1_000_000) - 1)
+        gone = (F.col("op") == "delete").cast("int")
+        rows = timed.withColumns({"_i": F.row_number().over(order), "_d": F.sum(gone).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_old": F.count(F.lit(1)).over(old), "_old_d": F.coalesce(F.sum(gone).over(old), F.lit(0))})
+        rows = rows.withColumn("_past_d", F.lag("_d", capacity, 0).over(order))
+        full = F.col("_i") - F.col("_old") > capacity
+        n = F.when(full, capacity).otherwise(F.col("_i") - F.col("_old")).cast("int")
+        n_delete = (F.col("_d") - F.when(full, F.col("_past_d")).otherwise(F.col("_old_d"))).cast("int")
+        return rows.withColumn("n", n).withColumn("n_delete", n_delete).drop("_us", "_i", "_d", "_old", "_old_d", "_past_d")
     share = lambda o: F.avg((F.col("op") == o).cast("double")).over(frame)
     n, seconds = F.count(F.lit(1)).over(frame), (F.max("_us").over(frame) - F.min("_us").over(frame)) / 1e6
     out = timed.withColumns({"n": n, "seconds": seconds, "read_ratio": share("read"), "write_ratio": share("write"), "delete_ratio": share("delete")})

@@ -83,6 +83,22 @@ class Hyperslab:
         return F.floor((i - s) / t) * b + F.pmod(i - s, F.lit(t))
 
 
+def selection_problem(start: Column, count: Column, stride: Column, block: Column, dims: Column) -> Column:
+    """What is wrong with the selection of each row, given as arrays; null if nothing. The rules are those of Hyperslab.validate()."""
+    rank = F.size(dims)
+    axes = F.arrays_zip(start.alias("s"), count.alias("c"), stride.alias("t"), block.alias("b"), dims.alias("n"))
+    ranks = F.lit(False)
+    for part in (start, count, stride, block):
+        ranks = ranks | (F.size(part) != rank)
+    cells = F.aggregate(axes, F.lit(1.0), lambda total, x: total * x["c"] * x["b"])
+    return (
+        F.when(ranks, "rank differs")
+        .when(F.exists(axes, lambda x: F.least(x["c"], x["t"], x["b"]) < 1), "count, stride and block must be positive")
+        .when(F.exists(axes, lambda x: (x["s"] < 0) | (x["s"] + (x["c"] - 1) * x["t"] + x["b"] > x["n"])), "selection leaves the array")
+        .when(cells > MAX_CELLS, "too many cells")
+    )
+
+
 def slice_of(start: Sequence[int], count: Sequence[int]) -> Hyperslab:
     """The contiguous box ``[start, start + count)``; a count of 0 selects nothing."""
     return Hyperslab(start, count)

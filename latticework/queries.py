@@ -85,10 +85,12 @@ def read_all_linear(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v FROM events)
-SELECT i, v FROM a WHERE i BETWEEN 5 AND 992 AND (i - 5) % 10 < 3 AND (i - 5) // 10 < 99""")
+SELECT i, v FROM a WHERE i >= 5 AND (i - 5) % 10 < 3 AND (i - 5) // 10 < ((SELECT count(*) FROM events) - 8) // 10 + 1""")
 def hyperslab_1d_events(spark, sf_dir):
+    """Three of every ten events, as many whole blocks as the array has."""
     stored = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v"))
-    return selection.select(arrays.positions(stored, "event_id"), Hyperslab((5,), (99,), (10,), (3,)), ("i",), (stored.count(),)).select("i", "v")
+    n = stored.count()
+    return selection.select(arrays.positions(stored, "event_id"), Hyperslab((5,), ((n - 8) // 10 + 1,), (10,), (3,)), ("i",), (n,)).select("i", "v")
 
 
 @query(f"WITH {EMB} SELECT count(*)::BIGINT AS n, (20 * 2 * 5 * 2)::BIGINT AS planned FROM emb WHERE r BETWEEN 10 AND 144 AND (r - 10) % 7 < 2 AND c BETWEEN 4 AND 17 AND (c - 4) % 3 < 2")
@@ -126,10 +128,10 @@ def chunk_iterate(spark, sf_dir):
 
 @query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), kept AS (SELECT * FROM emb WHERE (r // 10 + c // 10) % 2 = 0),
 g AS (SELECT unnest(range((SELECT n FROM n))) AS r), h AS (SELECT unnest(range(64)) AS c)
-SELECT g.r, h.c, coalesce(k.v, 0.0) AS v FROM g CROSS JOIN h LEFT JOIN kept k ON k.r = g.r AND k.c = h.c WHERE g.r < 100""")
+SELECT g.r, h.c, coalesce(k.v, 0.0) AS v FROM g CROSS JOIN h LEFT JOIN kept k ON k.r = g.r AND k.c = h.c""")
 def sparse_fill(spark, sf_dir):
-    kept = cells(spark, sf_dir).where("(r div 10 + c div 10) % 2 = 0 AND r < 100")
-    return arrays.filled(kept, arrays.grid(spark, (min(rows_of(spark, sf_dir), 100), WIDTH), ("r", "c")), ("r", "c")).select("r", "c", "v")
+    kept = cells(spark, sf_dir).where("(r div 10 + c div 10) % 2 = 0")
+    return arrays.filled(kept, arrays.grid(spark, (rows_of(spark, sf_dir), WIDTH), ("r", "c")), ("r", "c")).select("r", "c", "v")
 
 
 @query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT unnest(range((SELECT n + 3 FROM n))) AS r), h AS (SELECT unnest(range(66)) AS c)
@@ -203,6 +205,56 @@ def suite_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("passed"), F.sum(1 - ok).alias("failed"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 40 AS s0, p_size % 7 AS c0, p_size % 5 AS t0, p_partkey % 4 AS b0, p_partkey % 11 AS s1, p_partkey % 3 + 1 AS c1,
+ CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 2 END AS ranks, CASE WHEN p_partkey % 13 = 0 THEN 1000000000 ELSE 1 END::BIGINT AS big FROM part)
+SELECT id, CASE WHEN ranks = 1 THEN 'rank differs' WHEN least(c0, t0, b0) < 1 THEN 'count, stride and block must be positive'
+ WHEN s0 + (c0 - 1) * t0 + b0 > 60 OR s1 + (c1 - 1) * 2 + big > 12 * big THEN 'selection leaves the array' WHEN c0::DOUBLE * b0 * c1 * big > 1000000000 THEN 'too many cells' END AS problem FROM p""")
+def selection_problems(spark, sf_dir):
+    """What the checks say of a selection in each row."""
+    p, s, two = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 9 != 0
+    big = F.when(p % 13 == 0, 1_000_000_000).otherwise(1).cast("long")
+    long = lambda *x: F.array(*[c.cast("long") for c in x])
+    start = F.when(two, long(p % 40, p % 11)).otherwise(long(p % 40))
+    why = selection.selection_problem(start, long(s % 7, p % 3 + 1), long(s % 5, F.lit(2)), long(p % 4, big), long(F.lit(60), 12 * big))
+    return table(spark, sf_dir, "part").select(p.alias("id"), why.alias("problem"))
+
+
+_CASES = [
+    ("plain", [10, 4], [5, 2], [None, 4]),
+    ("no extents", [], None, None),
+    ("an empty extent", [3, 0], None, None),
+    ("chunk of another rank", [10, 4], [5], None),
+    ("chunk beyond the array", [10, 4], [11, 2], None),
+    ("growth without chunks", [10], None, [20]),
+    ("largest below extent", [10], [5], [9]),
+]
+
+
+@query("""SELECT * FROM (VALUES ('plain', NULL), ('no extents', 'extents must be positive'), ('an empty extent', 'extents must be positive'),
+('chunk of another rank', 'chunks must have the array''s rank and 1 to extent cells in each dimension'), ('chunk beyond the array', 'chunks must have the array''s rank and 1 to extent cells in each dimension'),
+('growth without chunks', 'only chunked datasets can grow'), ('largest below extent', 'largest extents must not be below the extents')) t("case", problem)""")
+def write_problems(spark, sf_dir):
+    """What the checks say of datasets to be made."""
+    from .sources.container import dataset_problem
+
+    return spark.createDataFrame([(name, dataset_problem(*case)) for name, *case in _CASES], "case string, problem string")
+
+
+@query("""SELECT * FROM (VALUES ('one', TRUE, 'int64'), ('half', TRUE, 'float64'), ('text', TRUE, 'string'), ('list', TRUE, 'array:int64'), ('texts', TRUE, 'array:string'), ('truth', FALSE, NULL), ('nothing', FALSE, NULL), ('mixed', FALSE, NULL), ('empty', FALSE, NULL)) t("case", valid, type)""")
+def attribute_types(spark, sf_dir):
+    """The types inferred for attributes' values."""
+    from .sources.container import attribute_type
+
+    def kind(value):
+        try:
+            return attribute_type(value)
+        except TypeError:
+            return None
+
+    values = {"one": 1, "half": 0.5, "text": "a", "list": [1, 2], "texts": ["a"], "truth": True, "nothing": None, "mixed": [1, "a"], "empty": []}
+    return spark.createDataFrame([(name, kind(v) is not None, kind(v)) for name, v in values.items()], "case string, valid boolean, type string")
+
+
 # Types
 
 
@@ -229,11 +281,13 @@ def fixed_string_trunc(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.octet_length(fixed).cast("long").alias("width"), strings.null_padded(fixed.cast("string")).alias("back"))
 
 
-@query("""SELECT n_nationkey AS id, n_name AS null_terminated, n_name AS null_padded, n_name AS space_padded, n_name AS member FROM nation""")
+@query("""WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '  ' || p_name WHEN 1 THEN p_name ELSE '' END AS s FROM part)
+SELECT id, s AS null_terminated, s AS null_padded, s AS space_padded, s AS member FROM n""")
 def string_pads(spark, sf_dir):
-    n = F.col("n_name")
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("id"),
+    """Names with spaces before and in them, and empty ones, out of fields padded in each way."""
+    n = F.element_at(F.array(F.concat(F.lit("  "), "p_name"), F.col("p_name"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
         strings.null_terminated(F.concat(n, F.lit("\0junk\0"))).alias("null_terminated"),
         strings.null_padded(F.concat(n, F.lit("\0\0"))).alias("null_padded"),
         strings.space_padded(F.concat(n, F.lit("   "))).alias("space_padded"),
@@ -241,10 +295,10 @@ def string_pads(spark, sf_dir):
     )
 
 
-@query("SELECT vec_id AS id, (vec_id * 1048576 * 3 + vec_id % 1000)::BIGINT AS n, CASE WHEN vec_id = 0 THEN '0 B' ELSE printf('%.1f MB', (vec_id * 1048576 * 3 + vec_id % 1000) / 1048576.0) END AS shown FROM embeddings WHERE vec_id < 300")
+@query("SELECT vec_id AS id, (vec_id * 1048576 * 3 + vec_id % 1000)::BIGINT AS n, CASE WHEN vec_id = 0 THEN '0 B' WHEN vec_id * 1048576 * 3 + vec_id % 1000 < 1073741824 THEN printf('%.1f MB', (vec_id * 1048576 * 3 + vec_id % 1000) / 1048576.0) ELSE printf('%.2f GB', (vec_id * 1048576 * 3 + vec_id % 1000) / 1073741824.0) END AS shown FROM embeddings")
 def readable_bytes(spark, sf_dir):
     n = F.col("vec_id") * 1048576 * 3 + F.col("vec_id") % 1000
-    return table(spark, sf_dir, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), n.alias("n"), strings.readable_bytes(n).alias("shown"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), n.alias("n"), strings.readable_bytes(n).alias("shown"))
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS customer, o_totalprice * 2 AS double_price, o_orderpriority AS priority, year(o_orderdate)::INT AS placed FROM orders")
@@ -343,6 +397,13 @@ def jenkins_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), checksums.jenkins(F.col("p_name").cast("binary")).alias("hash"))
 
 
+@query("SELECT * FROM (VALUES (1, 3735928559), (2, 393676113)) t(id, hash)")
+def jenkins_vectors(spark, sf_dir):
+    """The published hashes of an empty text and of one that fills blocks and a rest: fixed values."""
+    rows = spark.createDataFrame([(1, ""), (2, "Four score and seven years ago")], "id int, s string")
+    return rows.select("id", checksums.jenkins(F.col("s").cast("binary")).alias("hash"))
+
+
 # Catalog
 
 
@@ -387,9 +448,19 @@ _LINKS = """links AS (
 
 
 @query(f"""WITH {_OBJECTS} SELECT CASE WHEN path = '/' THEN '/' WHEN kind = 'group' THEN path || '/' ELSE path END AS walk_path, kind,
-(length(rtrim(path, '/')) - length(replace(rtrim(path, '/'), '/', '')))::INT AS depth FROM objects""")
+(length(rtrim(path, '/')) - length(replace(rtrim(path, '/'), '/', '')))::INT AS depth, row_number() OVER (ORDER BY replace(rtrim(path, '/'), '/', chr(1))) - 1 AS place FROM objects""")
 def walk_paths(spark, sf_dir):
-    return catalog.walk(objects(spark, sf_dir)).select("walk_path", "kind", "depth")
+    """The walk's objects and their places in it, depth first."""
+    return catalog.walk_ordinals(objects(spark, sf_dir)).select("walk_path", "kind", "depth", "place")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, ['/run.', '/run/', '/run-', '/run '][p_partkey % 4 + 1] || p_partkey AS path FROM part)
+SELECT id, row_number() OVER (ORDER BY replace(path, '/', chr(1))) - 1 AS place FROM p""")
+def walk_order(spark, sf_dir):
+    """Places of names with bytes below and above the one between parts."""
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("/run.", "/run/", "/run-", "/run "))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_partkey"))
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("object_id"), path.alias("path"), F.lit("dataset").alias("kind"))
+    return catalog.walk_ordinals(found).select("id", "place")
 
 
 @query(f"WITH {_OBJECTS} SELECT path, parent, name FROM objects")
@@ -459,10 +530,10 @@ def attr_get(spark, sf_dir):
     return attributes(spark, sf_dir).where("name = 'quality'").select("path", "value")
 
 
-@query(f"""WITH {_ATTRIBUTES}, new AS (SELECT '/doc' || doc_id AS path, 'quality' AS name, 'v' || n_chars AS value FROM documents WHERE doc_id % 3 = 0)
+@query(f"""WITH {_ATTRIBUTES}, new AS (SELECT '/doc' || doc_id AS path, 'quality' AS name, 'v' || n_chars AS value FROM documents)
 SELECT * FROM attrs a ANTI JOIN new n ON a.path = n.path AND a.name = n.name UNION ALL SELECT * FROM new""")
 def attr_upsert(spark, sf_dir):
-    new = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("/doc"), "doc_id").alias("path"), F.lit("quality").alias("name"), F.concat(F.lit("v"), "n_chars").alias("value"))
+    new = table(spark, sf_dir, "documents").select(F.concat(F.lit("/doc"), "doc_id").alias("path"), F.lit("quality").alias("name"), F.concat(F.lit("v"), "n_chars").alias("value"))
     return catalog.upsert_attributes(attributes(spark, sf_dir), new)
 
 
@@ -569,15 +640,18 @@ def drain_seconds(spark, sf_dir):
     return table(spark, sf_dir, "part").select(p.alias("id"), F.round(workload.drain_seconds(F.col("p_size"), p % 7), 6).alias("seconds"))
 
 
-@query(f"""WITH {_EV}, {_BY_DAY} SELECT count(*)::BIGINT AS evaluations, sum(n)::BIGINT AS operations, round(avg(confidence), 4) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
+_METRICS = f"""SELECT count(*)::BIGINT AS evaluations, sum(n)::BIGINT AS operations, round(avg(confidence), 4) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
 {", ".join(f"sum((safe = '{m}')::INT)::BIGINT AS mode_{m}" for m in ("none", "lazy", "incremental"))},
 {", ".join(f"sum((workload = '{w}')::INT)::BIGINT AS workload_{w}" for w in ("Unknown", "BatchDeletion", "AppendOnly", "FrequentWrites", "ReadHeavy", "MixedRW"))},
-sum((size < 104857600)::INT)::BIGINT AS size_small, sum((size BETWEEN 104857600 AND 524288000)::INT)::BIGINT AS size_medium, sum((size > 524288000)::INT)::BIGINT AS size_large FROM s""")
+sum((size < 104857600)::INT)::BIGINT AS size_small, sum((size BETWEEN 104857600 AND 524288000)::INT)::BIGINT AS size_medium, sum((size > 524288000)::INT)::BIGINT AS size_large FROM s"""
+
+
+@query(f"WITH {_EV}, {_BY_DAY} {_METRICS}")
 def workload_metrics(spark, sf_dir):
     return workload.metrics(workload.decide(workload.features(by_day(spark, sf_dir), ["key"])))
 
 
-@query()
+@query(f"WITH {_EV}, {_BY_DAY}, shot AS ({_METRICS}) SELECT to_json(shot)::VARCHAR AS snapshot FROM shot")
 def metrics_json(spark, sf_dir):
     """The metrics as one JSON text."""
     return workload_metrics(spark, sf_dir).select(F.to_json(F.struct("*")).alias("snapshot"))
@@ -641,12 +715,77 @@ def container_select(spark, sf_dir):
     from .sources.container import Container
 
     n = rows_of(spark, sf_dir)
-    box = Container.create(spark, scratch(spark, "container"))
+    box = Container.create(spark, scratch(spark, "container") + "/box")
     box.add_group("/vectors")
     box.write_dataset("/vectors/all", cells(spark, sf_dir), "float64", (n, WIDTH), ("r", "c"), chunk=(min(n, 250), 16), maxdims=(None, WIDTH))
     return box.select("/vectors/all", Hyperslab((30, 8), (50, 9), (1, 4)), ("r", "c")).select("r", "c", "v")
 
 
+def _box(spark, sf_dir):
+    """A new container with all embeddings in chunks, in a group, with links to it."""
+    from .sources.container import Container
+
+    n = rows_of(spark, sf_dir)
+    box = Container.create(spark, scratch(spark, "container") + "/box")
+    box.add_group("/g")
+    box.write_dataset("/g/v", cells(spark, sf_dir), "float64", (n, WIDTH), ("r", "c"), chunk=(min(n, 250), 16), maxdims=(None, WIDTH))
+    return box, n
+
+
+@query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT unnest(range((SELECT n + 3 FROM n))) AS r), h AS (SELECT unnest(range(64)) AS c)
+SELECT g.r, h.c, CASE WHEN g.r < (SELECT n // 2 FROM n) AND h.c < 32 THEN e.v ELSE 0.0 END AS v FROM g CROSS JOIN h LEFT JOIN emb e ON e.r = g.r AND e.c = h.c""")
+def container_resize(spark, sf_dir):
+    """A stored array made smaller and then larger than it was: what was dropped doesn't return."""
+    box, n = _box(spark, sf_dir)
+    box.resize("/g/v", (n // 2, 32))
+    box.resize("/g/v", (n + 3, WIDTH))
+    return box.cells("/g/v").select("r", "c", "v")
+
+
+@query(f"WITH {EMB} SELECT l.path, r, c, v FROM emb, (VALUES ('/hard/v'), ('/soft'), ('/chain')) l(path) WHERE r BETWEEN 4 AND 23 AND c BETWEEN 10 AND 19")
+def container_links(spark, sf_dir):
+    """A selection read through a hard link to the group, a soft link, and a chain of both."""
+    box, n = _box(spark, sf_dir)
+    for path, kind, to in (("/hard", "hard", "/g"), ("/soft", "soft", "/g/v"), ("/next", "soft", "/hard"), ("/chain", "soft", "/next/v")):
+        box.add_link(path, kind, to)
+    out = None
+    for path in ("/hard/v", "/soft", "/chain"):
+        got = box.select(path, Hyperslab((4, 10), (20, 10)), ("r", "c")).select(F.lit(path).alias("path"), "r", "c", "v")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("""SELECT * FROM (VALUES ('whole', NULL), ('a row less', 'each place once'), ('a row twice', 'each place once'), ('beyond', 'each place once')) t("case", problem)""")
+def container_write_checks(spark, sf_dir):
+    """Writes of the embeddings with all cells, and with wrong ones, which leave no dataset."""
+    box, n = _box(spark, sf_dir)
+    all_, told = cells(spark, sf_dir), []
+    last = F.col("r") == n - 1
+    for k, (name, rows) in enumerate((("whole", all_), ("a row less", all_.where(~last)), ("a row twice", all_.where(~last).unionByName(all_.where("r = 0"))), ("beyond", all_.withColumn("r", F.col("r") + 1)))):
+        try:
+            box.write_dataset(f"/d{k}", rows, "float64", (n, WIDTH), ("r", "c"))
+            told.append((name, None))
+        except ValueError as e:
+            told.append((name, "each place once" if "each place once" in str(e) else str(e)))
+    have = {r.path for r in box.objects.where("kind = 'dataset'").collect()}
+    return spark.createDataFrame([(a, b if have == {"/g/v", "/d0"} else f"datasets: {sorted(have)}") for a, b in told], "case string, problem string")
+
+
+@query(f"WITH {_OBJECTS}, {_LINKS}, t AS (SELECT path AS target, object_id FROM objects) SELECT l.path, l.kind, t.object_id, l.target_file FROM links l LEFT JOIN t ON l.target_path = t.target AND l.kind <> 'external'")
+def link_targets(spark, sf_dir):
+    """The object that each link leads to, if it lies in this container."""
+    targets = objects(spark, sf_dir).select(F.col("path").alias("target"), "object_id")
+    found = links(spark, sf_dir)
+    return found.join(targets, (F.col("target_path") == F.col("target")) & (F.col("kind") != "external"), "left").select("path", "kind", "object_id", "target_file")
+
+
+@query(f"WITH {_OBJECTS}, refs AS (SELECT p_partkey AS id, p_partkey % 300 AS ref FROM part) SELECT r.id, o.path FROM refs r LEFT JOIN objects o ON r.ref = o.object_id")
+def object_references(spark, sf_dir):
+    """The paths that references lead to; null for those that lead nowhere."""
+    refs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 300).alias("ref"))
+    return catalog.dereference(refs, objects(spark, sf_dir), "ref")
+
+
 @query("""WITH x AS (SELECT p_partkey AS id, unnest(range(0, length(p_name), 16)) AS pos, p_name FROM part)
 SELECT id, pos AS "at", rtrim(regexp_replace(lower(hex(substr(p_name, pos + 1, 16))), '(..)', '\\1 ', 'g')) AS hex FROM x""")
 def hex_lines(spark, sf_dir):
@@ -686,6 +825,6 @@ def object_info(spark, sf_dir):
     """What a listing says of a stored dataset, without reading its cells."""
     from .sources.container import Container
 
-    box = Container.create(spark, scratch(spark, "container"))
+    box = Container.create(spark, scratch(spark, "container") + "/box")
     box.write_dataset("/v", cells(spark, sf_dir), "float64", (rows_of(spark, sf_dir), WIDTH), ("r", "c"), chunk=(100, 16))
     return box.info()

@@ -1,9 +1,10 @@
 """Hierarchical array files as tables.
 
-``objects`` and ``attributes`` read whole files wherever Spark can (one task a
-file). ``cells`` reads one dataset of one file in parallel: the driver looks up
-the chunks that a selection's bounding box touches, and each becomes a
-partition whose task fetches that byte range only. ``write`` makes a file: chunks
+``objects`` and ``attributes`` list files in Spark and read the headers of each by
+byte ranges in a task. ``cells`` reads one dataset of one file in parallel: the
+driver looks up the chunks that a selection's bounding box touches, and puts
+neighbours together up to ``CELLS_TOGETHER`` cells; a task fetches the byte ranges
+of its chunks only. ``write`` makes a file: chunks
 are encoded by the executors and put in order by the driver, one at a time.
 """
 
@@ -34,6 +35,8 @@ from .h5format import Chunk, DataType, FormatError, H5File, H5Writer, type_named
 FORMAT = "array_file"
 #: Elements of contiguous storage in one partition.
 ROWS_TOGETHER = 1 << 20
+#: Cells of chunks in one partition, unless a chunk has more.
+CELLS_TOGETHER = 1 << 20
 OBJECTS = "file string, path string, kind string, type string, dims array<bigint>, maxdims array<bigint>, layout string, chunk array<bigint>, filters array<string>, target string"
 ATTRIBUTES = "file string, path string, name string, type string, dims array<bigint>, value string"
 
@@ -75,17 +78,26 @@ def _json(values) -> str:
     return json.dumps(values.tolist() if isinstance(values, np.ndarray) else values, default=plain)
 
 
-def _of_files(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
+def _of_files(spark: SparkSession, path: str, rows, schema: str, whole: bool) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 
+    def told(file: str, f: H5File):
+        found = [(file, *r) for r in rows(f)]
+        if found:
+            yield pd.DataFrame(found, columns=columns, dtype=object)
+
     def run(batches):
         for pdf in batches:
-            for file, data in zip(pdf["path"], pdf["content"], strict=True):
-                found = [(file, *r) for r in rows(H5File.of(bytes(data)))]
-                if found:
-                    yield pd.DataFrame(found, columns=columns, dtype=object)
+            for k, file in enumerate(pdf["path"]):
+                if whole:
+                    yield from told(file, H5File.of(bytes(pdf["content"][k])))
+                else:
+                    with opened(file) as f:
+                        yield from told(file, f)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    # Without the content Spark lists files and reads nothing of them.
+    wanted = ("path", "content") if whole else ("path", "length")
+    return spark.read.format("binaryFile").load(path).select(*wanted).mapInPandas(run, schema)
 
 
 def describe(f: H5File) -> Iterator[tuple]:
@@ -101,12 +113,12 @@ def describe(f: H5File) -> Iterator[tuple]:
             yield path, kind, f.type_of(node).name(), dims, most, s.kind, list(s.chunk) or None, [x.name for x in f.filters_of(node)], None
 
 
-def objects(spark: SparkSession, path: str) -> DataFrame:
-    """Every object and link of the files at a path."""
-    return _of_files(spark, path, describe, OBJECTS)
+def objects(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Every object and link of the files at a path; ``whole`` reads them through Spark, for stores that only it opens."""
+    return _of_files(spark, path, describe, OBJECTS, whole)
 
 
-def attributes(spark: SparkSession, path: str) -> DataFrame:
+def attributes(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Every attribute of the files at a path; a single value isn't a list, and ``value`` is JSON."""
 
     def rows(f: H5File):
@@ -115,11 +127,11 @@ def attributes(spark: SparkSession, path: str) -> DataFrame:
                 for name, kind, dims, values in f.attributes(node):
                     yield at, name, kind.name(), dims, _json(values[0] if len(values) == 1 else values)
 
-    return _of_files(spark, path, rows, ATTRIBUTES)
+    return _of_files(spark, path, rows, ATTRIBUTES, whole)
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     """A box of cells: where it begins, its extents, and its chunk if it is stored as one."""
 
     offset: tuple[int, ...]
@@ -128,13 +140,32 @@ class Piece(InputPartition):
     stored: bool
 
 
+@dataclass
+class Pieces(InputPartition):
+    """The boxes that one task reads."""
+
+    of: list[Piece]
+
+
 class CellReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.dataset = options["path"], options["dataset"]
         numbers = {k: [int(v) for v in options[k].split(",")] for k in ("start", "count", "stride", "block") if options.get(k)}
         self.slab = Hyperslab(**numbers) if numbers else None
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pieces]:
+        out: list[Pieces] = []
+        room = 0
+        for piece in self.pieces():
+            n = math.prod(piece.shape)
+            if n > room:
+                out.append(Pieces([]))
+                room = CELLS_TOGETHER
+            out[-1].of.append(piece)
+            room -= n
+        return out
+
+    def pieces(self) -> list[Piece]:
         with opened(self.path) as f:
             node = f.find(self.dataset)
             dims, _ = f.shape_of(node)
@@ -151,7 +182,8 @@ class CellReader(DataSourceReader):
                     return [Piece((), (), None, True)]
                 lo, hi = box[0]
                 return [Piece((i, *[0] * (len(dims) - 1)), (min(step, hi + 1 - i), *dims[1:]), None, True) for i in range(lo, hi + 1, step)]
-            have = {c.offset: c for c in f.chunks_of(node)}
+            # Of the index only what the selection's box meets is kept.
+            have = {c.offset: c for c in f.chunks_of(node) if all(o <= hi and o + k > lo for o, k, (lo, hi) in zip(c.offset, s.chunk, box, strict=True))}
             axes = [range(lo // k, hi // k + 1) for (lo, hi), k in zip(box, s.chunk, strict=True)]
             out = []
             for at in np.ndindex(*[len(a) for a in axes]):
@@ -174,33 +206,37 @@ class CellReader(DataSourceReader):
             out.append(at[(at >= o) & (at < o + n)])
         return out
 
-    def read(self, piece: Piece | None):
-        if piece is None:  # there are no partitions
+    def read(self, pieces: Pieces | None):
+        if pieces is None:  # there are no partitions
             return
         with opened(self.path) as f:
             node = f.find(self.dataset)
-            kind = f.type_of(node)
-            if piece.stored:
-                dims, _ = f.shape_of(node)
-                first = piece.offset[0] * math.prod(dims[1:]) if dims else 0
-                values = f.decode(f.raw(node, first, math.prod(piece.shape)), kind, math.prod(piece.shape))
-                shape = piece.shape
-            elif piece.chunk is None:
-                shape = piece.shape
-                n = math.prod(shape)
-                values = f.decode(bytes(n * kind.size), kind, n)
-            else:
-                values, shape = f.chunk_values(node, piece.chunk), f.storage_of(node).chunk
-            picked = self._picked(piece)
-            if not all(len(p) for p in picked):
-                return
-            local = np.ix_(*[p - o for p, o in zip(picked, piece.offset, strict=True)]) if picked else ()
-            where = np.arange(math.prod(shape)).reshape(shape)[local].reshape(-1)
-            coords = [g.reshape(-1) for g in np.meshgrid(*picked, indexing="ij")] if picked else []
-            wanted = values[where].astype(values.dtype.newbyteorder("=")) if isinstance(values, np.ndarray) else [values[i] for i in where]
-            to = to_arrow(spark_type(kind))
-            column = _column(wanted, to)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in coords], column], names=[*[f"i{d}" for d in range(len(coords))], "v"])
+            for piece in pieces.of:
+                yield from self._read(f, node, piece)
+
+    def _read(self, f: H5File, node, piece: Piece):
+        kind = f.type_of(node)
+        if piece.stored:
+            dims, _ = f.shape_of(node)
+            first = piece.offset[0] * math.prod(dims[1:]) if dims else 0
+            values = f.decode(f.raw(node, first, math.prod(piece.shape)), kind, math.prod(piece.shape))
+            shape = piece.shape
+        elif piece.chunk is None:
+            shape = piece.shape
+            n = math.prod(shape)
+            values = f.decode(bytes(n * kind.size), kind, n)
+        else:
+            values, shape = f.chunk_values(node, piece.chunk), f.storage_of(node).chunk
+        picked = self._picked(piece)
+        if not all(len(p) for p in picked):
+            return
+        local = np.ix_(*[p - o for p, o in zip(picked, piece.offset, strict=True)]) if picked else ()
+        where = np.arange(math.prod(shape)).reshape(shape)[local].reshape(-1)
+        coords = [g.reshape(-1) for g in np.meshgrid(*picked, indexing="ij")] if picked else []
+        wanted = values[where].astype(values.dtype.newbyteorder("=")) if isinstance(values, np.ndarray) else [values[i] for i in where]
+        to = to_arrow(spark_type(kind))
+        column = _column(wanted, to)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in coords], column], names=[*[f"i{d}" for d in range(len(coords))], "v"])
 
 
 def _column(values, to: pa.DataType) -> pa.Array:

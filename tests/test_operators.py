@@ -1,6 +1,7 @@
 import bz2
 import datetime as dt
 import os
+import random
 import zlib
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import catalog, codecs, workload
 from latticework.operators.codecs import Filter, FilterError
-from latticework.plans.selection import Hyperslab
+from latticework.plans.selection import Hyperslab, select
 from latticework.sources.container import Container, attribute_type
 from latticework.sources.dumps import hexdump, parse_dump, read_dumps
 from latticework.streaming.workload import drained, steady_modes, windowed_features
@@ -234,26 +235,76 @@ def test_attribute_types():
             attribute_type(bad)
 
 
-DUMP = """FILE "x" {
-GROUP "/" { DATASET "1d" {
-   DATATYPE  H5T_STD_I32LE
-   DATASPACE  SIMPLE { ( 100 ) / ( 100 ) }
-   SUBSET { START ( 1 ); STRIDE ( 10 ); COUNT ( 2 ); BLOCK ( 3 );
+#: A dump of an array of our own, in which element i is 7 i.
+DUMP = """HDF5 "own.h5" {
+GROUP "/" {
+   DATASET "sevens" {
+      DATATYPE  H5T_STD_I32LE
+      DATASPACE  SIMPLE { ( 40 ) / ( 40 ) }
+      SUBSET {
+         START ( 2 );
+         STRIDE ( 12 );
+         COUNT ( 3 );
+         BLOCK ( 2 );
+         DATA {
+         (2): 14, 21, 98, 105,
+         (26): 182, 189
+         }
+      }
+   }
+   DATASET "texts" {
+      DATATYPE  H5T_STRING
+      DATASPACE  SIMPLE { ( 2 ) / ( 2 ) }
       DATA {
-      (1): 1, 2, 3, 11
-      (9): 12, 13
-      } } }
-DATASET "s" { DATATYPE H5T_STRING DATASPACE SIMPLE { ( 2 ) / ( 2 ) } DATA { (0): "a b", "c" } }
-DATASET "n" { DATATYPE H5T_STD_I64BE DATASPACE NULL DATA { } } } }
+      (0): "a b", "c"
+      }
+   }
+   DATASET "none" { DATATYPE H5T_STD_I64BE DATASPACE NULL DATA { } }
+}
+}
 """
 
 
 def test_dumps(spark, tmp_path):
     one, text, null = parse_dump(DUMP)
-    assert one["dims"] == [100] and one["selection"]["block"] == [3] and one["values"] == [1, 2, 3, 11, 12, 13]
+    assert one["dims"] == [40] and one["selection"]["block"] == [2] and one["values"] == [14, 21, 98, 105, 182, 189]
     assert text["values"] == ["a b", "c"] and null["dims"] is None
     (tmp_path / "a.ddl").write_text(DUMP)
-    assert [r.value for r in read_dumps(spark, str(tmp_path)).orderBy("n").collect()] == [1, 2, 3, 11, 12, 13]
+    assert [r.value for r in read_dumps(spark, str(tmp_path)).orderBy("n").collect()] == [14, 21, 98, 105, 182, 189]
+
+
+def test_a_selection_gives_the_values_of_a_dump(spark):
+    """What select() reads of the array is what the dump shows, in its order."""
+    one = parse_dump(DUMP)[0]
+    at = one["selection"]
+    cells = spark.range(one["dims"][0]).selectExpr("id AS i", "id * 7 AS v")
+    got = select(cells, Hyperslab(*(at[k] for k in ("start", "count", "stride", "block"))), ("i",), one["dims"], ordinals=True)
+    assert [r.v for r in got.orderBy("o0").collect()] == one["values"]
+
+
+def test_trailing_capacity_equals_a_deque(spark):
+    rng, rows = random.Random(4), []
+    for seq in range(400):
+        rows.append(("ab"[seq % 2], rng.choice(["read", "write", "delete"]), T0 + dt.timedelta(seconds=rng.randint(0, 300)), 1, seq))
+    for capacity in (1, 7, 50, 1000):
+        got = {r.seq: (r.n, r.n_delete) for r in workload.trailing(frame(spark, rows), ["key"], 60, capacity).collect()}
+        want = {}
+        for key in "ab":
+            held = []
+            for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[4])):
+                held = [*held, r][-capacity:]
+                now = [h for h in held if h[2] >= r[2] - dt.timedelta(seconds=60)]
+                want[r[4]] = (len(now), sum(h[1] == "delete" for h in now))
+        assert got == want
+
+
+def test_fletcher_is_linear(spark):
+    from latticework.functions.checksums import fletcher32
+
+    data = [b"", b"a", b"ab", bytes(range(256)) * 3 + b"x", b"\xff" * 64_000]
+    df = spark.createDataFrame([(d,) for d in data], "d binary")
+    for r in df.select("d", fletcher32(F.col("d")).alias("f")).collect():
+        assert r.f == (codecs.fletcher(bytes(r.d)) if r.d else 0)
 
 
 def test_hexdump(spark):
