@@ -36,23 +36,25 @@ class KeyRanges:
         by ``spread``, a number from 0 up to but not including 1, in descending
         order of it; without ``spread`` it stays one range.
         """
-        n = len(self.bounds)
-        if not n:
+        if not self.bounds:
             return F.lit(None).cast("long")
-        bounds = _longs(self.bounds)
+        # Of few rows fewer bounds will do, but for those around keys with many rows.
+        step = max(1, len(self.bounds) * together // max(1, self.rows))
+        kept = [b for k, b in enumerate(self.bounds) if k % step == 0 or b in self.hot or b - 1 in self.hot]
+        n, bounds = len(kept), _longs(kept)
         # The last bound that isn't above the key: its bits from the highest to the lowest.
         steps = [1 << b for b in reversed(range(n.bit_length()))]
         found = F.aggregate(_longs(steps), F.lit(0).cast("long"), lambda at, step: F.when((at + step < n) & (F.get(bounds, (at + step).cast("int")) <= key), at + step).otherwise(at))
         share = max(1, self.rows // n)
         within = max(1, min(MOST, share // together))
-        ends = _longs([*self.bounds[1:], self.last])
+        ends = _longs([*kept[1:], self.last])
 
         def place(at: Column) -> Column:
             lo, hi = (F.get(x, at.cast("int")).cast("double") for x in (bounds, ends))
             # Doubles can't overflow, and rounding keeps their order.
             even = F.floor((key.cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * within)
             if self.hot and spread is not None:
-                parts = _longs([max(1, min(MOST, self.hot.get(b, 0) * self.rows // together // CELLS)) for b in self.bounds])
+                parts = _longs([max(1, min(MOST, self.hot.get(b, 0) * self.rows // together // CELLS)) for b in kept])
                 count = F.get(parts, at.cast("int"))
                 own = F.get(bounds, at.cast("int")) == key
                 even = F.when(own & (count > 1), count - 1 - F.floor(spread * count)).otherwise(even)

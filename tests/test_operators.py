@@ -7,8 +7,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.operators import catalog, codecs, workload
+from latticework.operators import arrays, catalog, codecs, workload
 from latticework.operators.codecs import Filter, FilterError
+from latticework.plans.ranges import key_ranges
 from latticework.plans.selection import Hyperslab, select
 from latticework.sources.container import Container, attribute_type
 from latticework.sources.dumps import hexdump, parse_dump, read_dumps
@@ -307,6 +308,27 @@ def test_fletcher_is_linear(spark):
         assert r.f == (codecs.fletcher(bytes(r.d)) if r.d else 0)
 
 
+LONG = (1 << 63) - 1
+
+
+@pytest.mark.parametrize("keys", [[-LONG - 1, 5, LONG], [*range(1500), 9 * 10**18], [b + k for b in (0, 10**12, -(10**15)) for k in range(500)], []])
+def test_positions_of_any_keys(spark, keys):
+    df = spark.createDataFrame([(k,) for k in [*keys[::-1], None]], "k long")
+    got = {r.k: r.i for r in arrays.positions(df, "k", rows=64).collect()}
+    assert got.pop(None) is None and got == {k: i for i, k in enumerate(sorted(keys))}
+    near = df.where("k IS NOT NULL").groupBy(key_ranges(df, "k").range_of(F.col("k"), 64)).count()
+    assert all(r["count"] <= 3 * 64 for r in near.collect())
+
+
+def test_a_key_with_many_rows_is_split(spark):
+    rows = [(7, i / 2000) for i in range(2000)] + [(k, 0.5) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, s double")
+    near = df.withColumn("r", key_ranges(df, "k").range_of(F.col("k"), 64, F.col("s")))
+    got = sorted((r.k, -r.s, r.r) for r in near.collect())
+    assert [r[2] for r in got] == sorted(r[2] for r in got)
+    assert near.groupBy("r").count().agg(F.max("count")).first()[0] <= 3 * 64
+
+
 def test_hexdump(spark):
     df = spark.createDataFrame([("f", bytes(range(40, 80)))], "path string, content binary")
     rows = hexdump(df, 4, 20).orderBy("at").collect()
