@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,17 +130,28 @@ def steady(rows: Iterator[tuple[int, str, bool]], last: tuple[int, str] | None =
 
 
 def hysteresis(decisions: DataFrame, key: str, stable_s: float = STABLE_S) -> DataFrame:
-    """Decisions (key, ts, fit, safe, confidence) with ``kept``, the mode after the stability rule, key by key."""
+    """Decisions (key, ts, fit, safe, confidence) with ``kept``, the mode after the stability rule, key by key.
+
+    A key's decisions pass in order, a batch at a time, with one remembered decision between them.
+    """
     stable = int(stable_s * 1_000_000)
     kind = decisions.schema[key].dataType.simpleString()
     rows = decisions.select(key, micros(F.col("ts")).alias("us"), "safe", (F.col("confidence") < MIN_CONFIDENCE).alias("gated"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        kept = [m for m, _ in steady(zip(pdf["us"], pdf["safe"], pdf["gated"], strict=True), None, stable)]
-        return pdf[[key, "us", "safe"]].assign(kept=kept)
-
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, us bigint, safe string, kept string")
+    # The window brings a key's rows together in order, and marks where the next key begins.
+    opens = F.row_number().over(Window.partitionBy(key).orderBy("us")) == 1
+    ordered = rows.withColumn("opens", opens)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            us, safe, gated, opens = (batch.column(k).to_pylist() for k in range(1, 5))
+            kept = []
+            for row in zip(us, safe, gated, opens, strict=True):
+                mode, last = next(steady([row[:3]], None if row[3] else last, stable))
+                kept.append(mode)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], names=[key, "us", "safe", "kept"])
+
+    return ordered.mapInArrow(fold, f"`{key}` {kind}, us bigint, safe string, kept string")
 
 
 def size_bin(size: Column) -> Column:

@@ -182,6 +182,7 @@ class CellReader(DataSourceReader):
                     return [Piece((), (), None, True)]
                 lo, hi = box[0]
                 return [Piece((i, *[0] * (len(dims) - 1)), (min(step, hi + 1 - i), *dims[1:]), None, True) for i in range(lo, hi + 1, step)]
+            f.chunk_cells(node)
             # Of the index only what the selection's box meets is kept.
             have = {c.offset: c for c in f.chunks_of(node) if all(o <= hi and o + k > lo for o, k, (lo, hi) in zip(c.offset, s.chunk, box, strict=True))}
             axes = [range(lo // k, hi // k + 1) for (lo, hi), k in zip(box, s.chunk, strict=True)]

@@ -18,10 +18,13 @@ import numpy as np
 
 from ..functions.checksums import lookup3
 from ..operators.codecs import FILTERS, Filter, apply_filters, remove_filters
+from ..plans.selection import check_buffer
 
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
 UNDEFINED = (1 << 64) - 1
 MAX_DEPTH = 64
+#: Most bytes of a dataset read at once, a chunk, an attribute and a string element; a file that asks for more is damaged.
+MAX_DATASET, MAX_CHUNK, MAX_ATTRIBUTE, MAX_STRING = 1 << 40, 1 << 30, 64 << 20, 16 << 20
 #: Message types: fixed values of the format.
 SPACE, LINK_INFO, TYPE, LINK, LAYOUT, FILTER, ATTRIBUTE, CONTINUE, SYMBOLS, ATTRIBUTE_INFO = 0x01, 0x02, 0x03, 0x06, 0x08, 0x0B, 0x0C, 0x10, 0x11, 0x15
 #: Entries of a chunk index node.
@@ -32,6 +35,14 @@ class FormatError(ValueError):
     """Bytes that aren't what the format asks for, or that use a part of it that isn't read here."""
 
 
+def _room(size: int, most: int, what: str) -> int:
+    """A size that a structure asks for, if it may."""
+    try:
+        return check_buffer(size, most, what)
+    except ValueError as e:
+        raise FormatError(str(e)) from None
+
+
 @dataclass(frozen=True)
 class DataType:
     """A type: its kind, size in bytes, and what else the kind needs."""
@@ -550,15 +561,25 @@ class H5File:
                 stored, mask = c.uint(4), c.uint(4)
                 yield Chunk(tuple(c.uint(8) for _ in range(rank)), child, stored, mask)
 
+    def chunk_cells(self, node: Node) -> int:
+        """Cells of a whole chunk, whose bytes are within the limit."""
+        cells = math.prod(self.storage_of(node).chunk)
+        _room(cells * self.type_of(node).size, MAX_CHUNK, "a chunk")
+        return cells
+
     def chunk_values(self, node: Node, chunk: Chunk) -> np.ndarray | list:
         """All cells of one chunk, also those beyond the array's edge, in row-major order."""
+        cells = self.chunk_cells(node)
+        _room(chunk.size, MAX_CHUNK, "a stored chunk")
         data = remove_filters(self._bytes(chunk.address, chunk.size), self.filters_of(node), chunk.mask)
-        return self.decode(data, self.type_of(node), math.prod(self.storage_of(node).chunk))
+        return self.decode(data, self.type_of(node), cells)
 
     def raw(self, node: Node, first: int = 0, count: int | None = None) -> bytes:
         """Bytes of elements ``first`` and on of a compact or contiguous dataset; nothing stored reads as zeros."""
         s, (dims, _), size = self.storage_of(node), self.shape_of(node), self.type_of(node).size
         n = (0 if dims is None else math.prod(dims)) - first if count is None else count
+        if n:
+            _room(n * size, MAX_DATASET, "a dataset")
         if s.kind == "compact":
             return s.data[first * size : (first + n) * size]
         return bytes(n * size) if s.address == UNDEFINED else self._bytes(s.address + first * size, n * size)
@@ -571,6 +592,8 @@ class H5File:
         s = self.storage_of(node)
         if s.kind != "chunked":
             return self.decode(self.raw(node), kind, math.prod(dims))
+        if math.prod(dims):
+            _room(math.prod(dims) * kind.size, MAX_DATASET, "a dataset")
         parts = []
         for chunk in self.chunks_of(node):
             parts.append((chunk, self.chunk_values(node, chunk)))
@@ -590,6 +613,8 @@ class H5File:
         if kind.kind == "enum":
             return np.frombuffer(data, kind.base.numpy, count)
         size = kind.size
+        if kind.kind == "string":
+            _room(size, MAX_STRING, "a string element")
         pieces = [data[i * size : (i + 1) * size] for i in range(count)]
         if kind.kind == "string":
             return [self._string(p, kind.pad) for p in pieces]
@@ -618,6 +643,8 @@ class H5File:
         octets = kind.kind == "vlen" and kind.base.name() == "uint8"
         if not n or heap in (0, UNDEFINED):
             return "" if kind.kind == "vlen_string" else b"" if octets else []
+        if kind.kind == "vlen_string":
+            _room(n, MAX_STRING, "a string element")
         if heap not in self._heaps:
             self._heaps[heap] = self._collection(heap)
         if index not in self._heaps[heap]:
@@ -670,6 +697,8 @@ class H5File:
             name, kind, space = (c.take(-(-s // 8) * 8 if version == 1 else s)[:s] for s in sizes)
             of, (dims, _) = parse_type(Cursor(kind, 0, self.o, self.n)), parse_space(space, self.n)
             count = 0 if dims is None else math.prod(dims)
+            if count:
+                _room(count * of.size, MAX_ATTRIBUTE, "an attribute")
             yield name.rstrip(b"\0").decode("utf-8", "replace"), of, dims, self.decode(c.take(count * of.size), of, count)
 
     def walk(self) -> Iterator[tuple[str, str, Node | str]]:

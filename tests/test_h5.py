@@ -172,3 +172,28 @@ def test_dense_links():
     f = H5File.of(bytes(out))
     assert [(p, k) for p, k, _ in f.walk()] == [("/", "group"), ("/a", "dataset"), ("/b/", "group"), ("/c", "dataset")]
     assert f.values(f.find("/c")).tolist() == [41]
+
+
+@pytest.mark.parametrize(("limit", "most", "name"), [("MAX_CHUNK", 7 * 5 * 4, "/g/h/c"), ("MAX_DATASET", 600 * 4, "/g/flat"), ("MAX_STRING", 8, "/record"), ("MAX_STRING", 4, "/texts")])
+def test_a_file_cannot_ask_for_any_buffer(file, monkeypatch, limit, most, name):
+    """What is just within a limit is read; a byte less is refused."""
+    from latticework.sources import h5format
+
+    data = open(file, "rb").read()
+    monkeypatch.setattr(h5format, limit, most)
+    f = H5File.of(data)
+    assert len(f.values(f.find(name)))
+    monkeypatch.setattr(h5format, limit, most - 1)
+    with pytest.raises(FormatError, match="at most"):
+        f.values(f.find(name))
+
+
+def test_an_attribute_cannot_be_any_size(file, monkeypatch):
+    from latticework.sources import h5format
+
+    f = H5File.of(open(file, "rb").read())
+    node = f.find("/g/flat")
+    assert {a[0] for a in f.attributes(node)} == {"unit", "n"}
+    monkeypatch.setattr(h5format, "MAX_ATTRIBUTE", 23)
+    with pytest.raises(FormatError, match="an attribute"):
+        list(f.attributes(node))

@@ -119,6 +119,24 @@ def test_steady_stream_equals_batch(spark, tmp_path):
     assert [r.kept for r in want.orderBy("us").collect()] == ["lazy", "lazy", "none", "none", "lazy"]
 
 
+def test_hysteresis_keeps_its_state_over_batches(spark):
+    """Many keys, null ones too, in batches of three rows, against the rule on each key's list."""
+    rng = random.Random(8)
+    rows = [(k, T0 + dt.timedelta(seconds=11 * i), m, m, c) for k in (None, 1, 2, 3) for i in range(25) for m, c in [(rng.choice(["lazy", "none", "incremental"]), rng.choice([0.5, 0.9, 0.9]))]]
+    df = spark.createDataFrame(rows, "key int, ts timestamp_ntz, fit string, safe string, confidence double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [(r.key, r.us, r.kept) for r in workload.hysteresis(df, "key").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = []
+    for key in (None, 1, 2, 3):
+        mine = [(int((r[1] - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000, r[3], r[4] < 0.7) for r in rows if r[0] == key]
+        want += [(key, m[0], kept) for m, (kept, _) in zip(mine, workload.steady(iter(mine)), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_loop(spark, tmp_path):
     from latticework.streaming.workload import start_loop
 

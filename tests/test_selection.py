@@ -29,6 +29,43 @@ def test_one_dimension_honours_stride_and_block(spark):
     assert taken(spark, Hyperslab((1,), (2,), (10,), (3,)), (100,)) == [1, 2, 3, 11, 12, 13]
 
 
+#: Published dumps of strided, blocked selections (start, count, stride, block, extents) of arrays that hold 0, 1, 2, ...
+DUMPED = [
+    (
+        ((1,), (2,), (10,), (3,), (100,)),
+        """1, 2, 3, 11, 12, 13""",
+    ),
+    (
+        ((1, 2), (3, 2), (3, 3), (2, 2), (10, 10)),
+        """12, 13, 15, 16,
+        22, 23, 25, 26,
+        42, 43, 45, 46,
+        52, 53, 55, 56,
+        72, 73, 75, 76,
+        82, 83, 85, 86""",
+    ),
+    (
+        ((0, 1, 2), (2, 2, 2), (1, 3, 3), (1, 2, 2), (2, 10, 10)),
+        """12, 13, 15, 16,
+        22, 23, 25, 26,
+        42, 43, 45, 46,
+        52, 53, 55, 56,
+        112, 113, 115, 116,
+        122, 123, 125, 126,
+        142, 143, 145, 146,
+        152, 153, 155, 156""",
+    ),
+]
+
+
+@pytest.mark.parametrize(("at", "values"), DUMPED)
+def test_published_dumps(spark, at, values):
+    start, count, stride, block, dims = at
+    cells, names = ramp(spark, dims)
+    got = select(cells, Hyperslab(start, count, stride, block), names, dims, ordinals=True)
+    assert [r.v for r in got.orderBy(*[f"o{d}" for d in range(len(dims))]).collect()] == [int(v) for v in values.split(",")]
+
+
 def test_two_dimensions(spark):
     got = taken(spark, Hyperslab((1, 2), (3, 2), (3, 3), (2, 2)), (10, 10))
     assert got == [10 * r + c for r in (1, 2, 4, 5, 7, 8) for c in (2, 3, 5, 6)]
