@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +67,43 @@ def lookup3(data: bytes, seed: int = 0) -> int:
     return b
 
 
+#: Bytes beyond which a value is hashed by itself: rows that long are too few to share numpy's steps.
+LONG = 1 << 10
+
+
+def lookup3_all(values: list[bytes | None]) -> list[int | None]:
+    """lookup3() of each value, null for null; a step is taken for all values of up to LONG bytes together."""
+    out: list[int | None] = [None if x is None else lookup3(x) if not x or len(x) > LONG else 0 for x in values]
+    # Those of most blocks first, so that the values a step concerns are the first ones.
+    at = sorted((i for i, x in enumerate(values) if x and len(x) <= LONG), key=lambda i: -len(values[i]))
+    if not at:
+        return out
+    sizes = np.array([len(values[i]) for i in at])
+    blocks = (sizes + 11) // 12
+    words = np.frombuffer(b"".join(values[i].ljust(12 * int(n), b"\0") for i, n in zip(at, blocks, strict=True)), dtype="<u4")
+    first = 3 * (np.cumsum(blocks) - blocks)
+    mixed = np.repeat((np.uint32(0xDEADBEEF) + sizes.astype(np.uint32))[None, :], 3, axis=0)
+
+    def rot(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+
+    for block in range(int(blocks[0]) - 1):
+        m = int(np.count_nonzero(blocks - 1 > block))
+        a, b, c = (mixed[k, :m] + words[first[:m] + 3 * block + k] for k in range(3))
+        for turn in (4, 6, 8, 16, 19, 4):
+            a, b, c = b, c + b, (a - c) ^ rot(c, turn)
+        mixed[:, :m] = a, b, c
+    a, b, c = (mixed[k] + words[first + 3 * (blocks - 1) + k] for k in range(3))
+    for turn in (14, 11, 25, 16, 4, 14, 24):
+        a, b, c = b, (c ^ b) - rot(b, turn), a
+    for i, h in zip(at, b.tolist(), strict=True):
+        out[i] = h
+    return out
+
+
 @F.arrow_udf(T.LongType())
 def _lookup3(data: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else lookup3(x) for x in data.to_pylist()], type=pa.int64())
+    return pa.array(lookup3_all(data.to_pylist()), type=pa.int64())
 
 
 def jenkins(data: Column) -> Column:

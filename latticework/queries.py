@@ -391,7 +391,32 @@ def fletcher32(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), checksums.fletcher32(F.col("p_name").cast("binary")).alias("checksum"))
 
 
-@query()
+_WORD = "CAST('0x' || substr(h, o + {d} + 7, 2) || substr(h, o + {d} + 5, 2) || substr(h, o + {d} + 3, 2) || substr(h, o + {d} + 1, 2) AS BIGINT)"
+
+
+@query(
+    f"""WITH RECURSIVE
+names AS (
+  SELECT p_partkey AS id, rpad(hex(encode(p_name)), CAST(ceil(strlen(p_name) / 12) AS INT) * 24, '0') AS h, CAST(ceil(strlen(p_name) / 12) AS INT) - 1 AS last, strlen(p_name) AS n
+  FROM part
+),
+steps AS (
+  SELECT id, h, last, 0 AS s, (3735928559 + n) & 4294967295 AS a, (3735928559 + n) & 4294967295 AS b, (3735928559 + n) & 4294967295 AS c FROM names
+  UNION ALL
+  SELECT id, h, last, s + 1, b,
+    CASE WHEN s < 6 * last THEN c + b ELSE xor(c, b) - (((b << turn) | (b >> (32 - turn))) & 4294967295) END & 4294967295,
+    CASE WHEN s < 6 * last THEN xor((a - c) & 4294967295, ((c << turn) | (c >> (32 - turn))) & 4294967295) ELSE a END
+  FROM (
+    SELECT id, h, last, s,
+      CASE WHEN s < 6 * last THEN [4, 6, 8, 16, 19, 4][s % 6 + 1] ELSE [14, 11, 25, 16, 4, 14, 24][s - 6 * last + 1] END AS turn,
+      CASE WHEN fresh THEN (a + {_WORD.format(d=0)}) & 4294967295 ELSE a END AS a,
+      CASE WHEN fresh THEN (b + {_WORD.format(d=8)}) & 4294967295 ELSE b END AS b,
+      CASE WHEN fresh THEN (c + {_WORD.format(d=16)}) & 4294967295 ELSE c END AS c
+    FROM (SELECT *, s % 6 = 0 AND s <= 6 * last AS fresh, s // 6 * 24 AS o FROM steps WHERE s < 6 * last + 7)
+  )
+)
+SELECT id, b AS hash FROM steps WHERE s = 6 * last + 7"""
+)
 def jenkins_hash(spark, sf_dir):
     """The metadata hash of names; other rows' names of the same hash are what a lookup by hash would confuse."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), checksums.jenkins(F.col("p_name").cast("binary")).alias("hash"))

@@ -1,3 +1,4 @@
+import random
 import math
 
 import numpy as np
@@ -106,3 +107,10 @@ def test_checksums(spark):
     assert [r.f for r in rows] == [loop_fletcher(d) for d in data]
     assert checksums.lookup3(b"Four score and seven years ago") == 0x17770551
     assert rows[0].j == 0xDEADBEEF
+
+
+def test_hashes_of_many_values_are_those_of_each():
+    rng = random.Random(3)
+    values = [None, b"", *[rng.randbytes(rng.randint(0, 60)) for _ in range(300)], *[rng.randbytes(n) for n in (11, 12, 13, 24, checksums.LONG, checksums.LONG + 1)]]
+    assert checksums.lookup3_all(values) == [None if v is None else checksums.lookup3(v) for v in values]
+    assert checksums.lookup3_all([]) == [] and checksums.lookup3_all([None]) == [None]

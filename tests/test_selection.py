@@ -55,6 +55,55 @@ DUMPED = [
         142, 143, 145, 146,
         152, 153, 155, 156""",
     ),
+    (
+        ((0, 0, 1, 2), (2, 2, 3, 2), (1, 1, 3, 3), (1, 1, 2, 2), (2, 2, 10, 10)),
+        """12, 13, 15, 16,
+        22, 23, 25, 26,
+        42, 43, 45, 46,
+        52, 53, 55, 56,
+        72, 73, 75, 76,
+        82, 83, 85, 86,
+        112, 113, 115, 116,
+        122, 123, 125, 126,
+        142, 143, 145, 146,
+        152, 153, 155, 156,
+        172, 173, 175, 176,
+        182, 183, 185, 186,
+        212, 213, 215, 216,
+        222, 223, 225, 226,
+        242, 243, 245, 246,
+        252, 253, 255, 256,
+        272, 273, 275, 276,
+        282, 283, 285, 286,
+        312, 313, 315, 316,
+        322, 323, 325, 326,
+        342, 343, 345, 346,
+        352, 353, 355, 356,
+        372, 373, 375, 376,
+        382, 383, 385, 386""",
+    ),
+    (
+        ((0, 0, 0, 0), (2, 2, 2, 2), (2, 2, 2, 2), (1, 1, 1, 1), (4, 6, 8, 10)),
+        """0, 2,
+        20, 22,
+        160, 162,
+        180, 182,
+        960, 962,
+        980, 982,
+        1120, 1122,
+        1140, 1142""",
+    ),
+    (
+        ((0, 0, 0, 0), (2, 2, 2, 2), (1, 1, 1, 1), (1, 1, 1, 1), (4, 6, 8, 10)),
+        """0, 1,
+        10, 11,
+        80, 81,
+        90, 91,
+        480, 481,
+        490, 491,
+        560, 561,
+        570, 571""",
+    ),
 ]
 
 
