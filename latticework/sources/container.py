@@ -19,8 +19,11 @@ import json
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbers import spark_type
 from ..functions.shapes import describe
@@ -38,6 +41,13 @@ VERSIONS = "version int, format int, writer string, objects string, links string
 MAX_HOPS = 32
 
 
+def _given(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver has, handed over as an Arrow table: plain rows would pass through Python workers."""
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
+
+
 class Container:
     """An open container."""
 
@@ -60,9 +70,9 @@ class Container:
         path = path.rstrip("/")
         root = {"objects": [("/", "", "", "group", 0, None, None, None, None, None, None)], "links": [], "attributes": []}
         for name, rows in root.items():
-            spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1).write.mode(mode).parquet(f"{path}/catalog/first/{name}")
+            _given(spark, rows, SCHEMAS[name]).coalesce(1).write.mode(mode).parquet(f"{path}/catalog/first/{name}")
         first = [(0, format_version, "first", *[f"first/{name}" for name in SCHEMAS])]
-        spark.createDataFrame(first, VERSIONS).coalesce(1).write.mode(mode).json(f"{path}/versions")
+        _given(spark, first, VERSIONS).coalesce(1).write.mode(mode).json(f"{path}/versions")
         return cls(spark, path)
 
     def _table(self, name: str) -> DataFrame:
@@ -86,7 +96,7 @@ class Container:
         for name, rows in changed.items():
             folders[name] = f"{writer}/{name}"
             rows.coalesce(1).write.parquet(f"{self.path}/catalog/{folders[name]}")
-        self.spark.createDataFrame([(to, self.format_version, writer, *folders.values())], VERSIONS).coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        _given(self.spark, [(to, self.format_version, writer, *folders.values())], VERSIONS).coalesce(1).write.mode("append").json(f"{self.path}/versions")
         others = self._versions().where((F.col("version") == to) & (F.col("writer") != writer)).count()
         if others:
             raise RuntimeError("another writer has changed the container at the same time: open it again")
@@ -135,7 +145,7 @@ class Container:
 
     def _add(self, path: str, kind: str, dtype=None, dims=None, maxdims=None, chunk=None, folder=None) -> None:
         path, parent, new = self._check_new(path)
-        row = self.spark.createDataFrame([(path, parent, path.rpartition("/")[2], kind, new, dtype, dims, maxdims, chunk, dims, folder)], OBJECTS)
+        row = _given(self.spark, [(path, parent, path.rpartition("/")[2], kind, new, dtype, dims, maxdims, chunk, dims, folder)], OBJECTS)
         self._commit(objects=self.objects.unionByName(row))
 
     def add_group(self, path: str) -> None:
@@ -225,16 +235,16 @@ class Container:
             why = self.spark.range(1).select(external_file_problem(F.lit(target_file))).first()[0]
             if why:
                 raise ValueError(why)
-        row = self.spark.createDataFrame([(path, kind, target_path, target_file)], LINKS)
+        row = _given(self.spark, [(path, kind, target_path, target_file)], LINKS)
         self._commit(links=self.links.unionByName(row))
 
     def add_linked_group(self, path: str, targets: dict[str, str]) -> None:
         """A group with hard links to existing objects, by name; however many there are."""
-        wanted = self.spark.createDataFrame([(t,) for t in targets.values()] or [("/",)], "path string")
+        wanted = _given(self.spark, [(t,) for t in targets.values()] or [("/",)], "path string")
         if not wanted.join(self.objects, "path", "left_anti").isEmpty():
             raise ValueError("a link's target doesn't exist")
         self.add_group(path)
-        rows = self.spark.createDataFrame([(f"{path}/{name}", "hard", to, None) for name, to in targets.items()], LINKS)
+        rows = _given(self.spark, [(f"{path}/{name}", "hard", to, None) for name, to in targets.items()], LINKS)
         self._commit(links=self.links.unionByName(rows))
 
     def chunks(self, path: str, coords: Sequence[str], cancelled=None) -> ChunkIterator:
@@ -251,7 +261,7 @@ class Container:
         """Adds or replaces an attribute; its type is that of the value."""
         box, at = self.open(path)
         kind = attribute_type(value)
-        row = self.spark.createDataFrame([(at.path, name, kind, json.dumps(value))], ATTRIBUTES)
+        row = _given(self.spark, [(at.path, name, kind, json.dumps(value))], ATTRIBUTES)
         box._commit(attributes=catalog.upsert_attributes(box.attributes, row))
 
     def attribute(self, path: str, name: str):
@@ -263,7 +273,7 @@ class Container:
 
     def delete_attribute(self, path: str, name: str) -> None:
         box, at = self.open(path)
-        gone = self.spark.createDataFrame([(at.path, name)], "path string, name string")
+        gone = _given(self.spark, [(at.path, name)], "path string, name string")
         box._commit(attributes=catalog.delete_attributes(box.attributes, gone))
 
     def walk(self) -> DataFrame:
