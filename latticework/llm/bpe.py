@@ -6,10 +6,13 @@ start, in parallel. Splitting is a scan without memory: once two scans share a
 boundary they share all later ones. So chunk k + 1 takes over from chunk k at
 the first boundary in their overlap that both have and that doesn't follow white
 space, and the pieces between these places are encoded in parallel. A text in which some overlap has no common
-boundary is encoded in one go. Decoding concatenates the tokens' bytes.
+boundary is put together from its chunks again and encoded in one go. Decoding
+concatenates the tokens' bytes.
 
 A long text is handled once for all rows that have it, by its digest; the ids of
-its pieces are put together again in one row, as long as the text itself.
+its pieces are put together again in one row, as long as the text itself. What a
+caller derives from that row is derived there, so that no more than that, and the
+columns that are asked for, meets the text's rows.
 
 Defined results: null counts as an empty text, which has no tokens; special
 tokens' strings are ordinary text; equal texts have equal results; repeated rows
@@ -20,6 +23,7 @@ column whose name the caller gives; a column of that name is replaced.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -98,7 +102,10 @@ def encode_columns(text: Column, path: str, pattern: str) -> Column:
 
 
 def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(key, n, start, piece) of the texts (key, text), cut where their chunks' pre-tokens resynchronise."""
+    """(key, n, piece, body) of the texts (key, text), cut where their chunks' pre-tokens resynchronise.
+
+    Of a text in which they don't, all pieces are null, and the bodies make up the whole text; else bodies are null.
+    """
 
     @F.arrow_udf(MARKS)
     def mark(chunks: pa.Array, lasts: pa.Array) -> pa.Array:
@@ -134,38 +141,50 @@ def pieces_of(long: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
     end = F.when(reaches_end, F.char_length("chunk")).otherwise(F.col("stop") + chunk)
     # Where a stop is missing the piece's text is null, and the whole text is for another way.
     piece = F.substring(F.col("chunk"), (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int"))
-    return begins.select("key", "n", "of", piece.alias("piece"))
+    cuts = begins.select("key", "n", "chunk", piece.alias("piece"))
+    met = F.bool_and(F.col("piece").isNotNull()).over(Window.partitionBy("key"))
+    body = F.substring(F.col("chunk"), 1, chunk)
+    return cuts.withColumn("met", met).select("key", "n", F.when(F.col("met"), F.col("piece")).alias("piece"), F.when(~F.col("met"), body).alias("body"))
+
 
+def encode_texts(
+    docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, name: str = "bpe", derive: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """``docs`` with a column ``name``: a struct of ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` bytes.
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, name: str = "bpe") -> DataFrame:
-    """``docs`` with a column ``name``: a struct of ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` bytes."""
-    path, pattern = path or default_ranks(), pattern or default_pattern()
+    With ``derive`` the column holds what this makes of the struct.
+    """
+    path, pattern, derive = path or default_ranks(), pattern or default_pattern(), derive or (lambda bpe: bpe)
     whole, own = wrapped(docs), F.col("_doc")[text]
     size = F.coalesce(F.char_length(own), F.lit(0))
-    short = whole.where(size <= chunk).withColumn("bpe", encode_columns(own, path, pattern))
+    short = whole.where(size <= chunk).withColumn("bpe", encode_columns(own, path, pattern)).select("_doc", derive(F.col("bpe")).alias("bpe"))
     long = whole.where(size > chunk).withColumn("_key", F.sha2(own, 256))
     once = long.select(F.col("_key").alias("key"), own.alias("text")).dropDuplicates(["key"])
     pieces = pieces_of(once, path, pattern, chunk, overlap)
     done = pieces.withColumn("bpe", encode_columns(F.col("piece"), path, pattern))
-    parts = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "bpe"))).alias("all"), F.bool_and(F.col("piece").isNotNull()).alias("met"))
+    parts = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "bpe", "body"))).alias("all"))
     joined = F.struct(
         F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + x["bpe"]["n_tokens"]).alias("n_tokens"),
         F.array_join(F.filter(F.transform("all", lambda x: x["bpe"]["ids"]), lambda s: F.length(s) > 0), ",").alias("ids"),
         # Pieces are cut between characters, so each is a text of its own.
         F.array_join(F.transform("all", lambda x: x["bpe"]["decoded"].cast("string")), "").cast("binary").alias("decoded"),
     )
-    coded = parts.select("key", F.when(F.col("met"), joined).alias("bpe"))
-    met = long.join(coded, F.col("_key") == F.col("key")).select("_doc", "bpe")
     # Where some overlap has no common boundary the whole text is encoded; the others give the encoder nothing to do.
-    whole_text = encode_columns(F.when(F.col("bpe").isNull(), own), path, pattern)
-    out = short.unionByName(met.select("_doc", F.coalesce("bpe", whole_text).alias("bpe")))
+    met = F.col("all")[0]["body"].isNull()
+    whole_text = encode_columns(F.when(~met, F.array_join(F.transform("all", lambda x: x["body"]), "")), path, pattern)
+    coded = parts.withColumn("whole", whole_text).select("key", F.when(met, derive(joined)).otherwise(derive(F.col("whole"))).alias("bpe"))
+    out = short.unionByName(long.join(coded, F.col("_key") == F.col("key")).select("_doc", "bpe"))
     return unwrapped(out, docs.columns, **{name: F.col("bpe")})
 
 
+def digests(bpe: Column) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256): the number of tokens, and digests of the ids and of the bytes that they decode to."""
+    return F.struct(bpe["n_tokens"].alias("n_tokens"), F.sha2(bpe["ids"], 256).alias("ids_sha256"), F.sha2(bpe["decoded"], 256).alias("decoded_sha256"))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
-    out = encode_texts(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
+    return encode_texts(docs.select("doc_id", "text"), derive=digests).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

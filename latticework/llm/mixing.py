@@ -36,6 +36,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.conversion import LocalDataToArrowConversion
 
 from .common import cut, power_of_two, table, unwrapped, word_count, wrapped
 
@@ -168,7 +169,10 @@ def mix(df: DataFrame, source: str, size: str, keys: list[str], weights: tuple[i
         raise ValueError("block must be a power of two")
     rows = plan(df, source, size, weights, share, epochs)
     kinds = [("_source", df.schema[source].dataType), ("_place", T.IntegerType()), ("_of", T.LongType()), ("_target", T.DoubleType()), ("_all", T.LongType())]
-    listed = spark.createDataFrame([(r[0], i, *r[1:]) for i, r in enumerate(rows)], T.StructType([T.StructField(*k) for k in kinds]))
+    # Handed over as an Arrow table: plain rows would pass through Python workers, which stay in the executors' memory.
+    fields = T.StructType([T.StructField(*k) for k in kinds])
+    given = [(r[0], i, *r[1:]) for i, r in enumerate(rows)]
+    listed = spark.createDataFrame(given and LocalDataToArrowConversion.convert(given, fields, False), fields)
     doc, names = F.col("_doc"), [f"_key_{k}" for k in range(len(keys))]
     own = wrapped(df).select("_doc", doc[size].cast("long").alias("_size"), *[doc[k].alias(n) for k, n in zip(keys, names, strict=True)])
     # At most MAX_SOURCES rows.

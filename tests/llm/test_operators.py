@@ -236,6 +236,17 @@ def spark_ints_xxhash64(first, *longs):
     return h
 
 
+def test_mix_lists_sources_without_python_workers(spark, monkeypatch):
+    """The sources' rows reach the executors without an RDD of Python rows, whose workers would stay; their values as they are."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("an RDD of Python rows"))
+    for source in ("CASE WHEN id % 3 < 2 THEN concat('s', id % 3) END", "timestamp_seconds(1000 + id % 3)", "CAST(1 + id % 3 AS decimal(5, 2))"):
+        df = spark.range(9).selectExpr("id", f"{source} AS source", "10 + id AS size")
+        out = mixing.mix(df, "source", "size", ["id"]).groupBy("id", "source", "size", "source_size").agg(F.sum("words").alias("words")).collect()
+        whole = {r.source: r.s for r in df.groupBy("source").agg(F.sum("size").alias("s")).collect()}
+        assert sorted(r.id for r in out) == list(range(9)) and len(whole) == 3
+        assert all(r.source_size == whole[r.source] for r in out) and abs(sum(r.words for r in out) - 189) <= 3
+
+
 def test_mix_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(k, "ab"[k % 2], 3 + k) for k in range(12)], "id long, source string, size long")
     for name in ("place", "slot", "target", "offset", "words", "_place", "_size", "_doc", "_row", "_block", "mine"):
@@ -459,6 +470,25 @@ def test_bpe_pieces_do_not_end_in_white_space(spark, tmp_path, gap):
             assert (r.bpe.ids, bytes(r.bpe.decoded).decode()) == (",".join(map(str, encoder.encode_ordinary(texts[r.i]))), texts[r.i])
 
 
+def joins(plan):
+    """The schemas of the two sides of each join in a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [[c.schema().simpleString() for c in children]] if plan.nodeName() == "Join" else []
+    return own + [j for c in children for j in joins(c)]
+
+
+def test_bpe_digests_meet_no_texts(spark):
+    """Neither long texts nor their ids and bytes pass through the join, only what the query derives from them."""
+    encoder = bpe.codec(bpe.default_ranks(), bpe.default_pattern())[0]
+    texts = ["", "short", "x" * 70_000, "several words and more " * 3_000, "several words and more " * 3_000, "é漢 \n" * 20_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.token_digests(docs)
+    sides = joins(out._jdf.queryExecution().optimizedPlan())
+    assert sides and not [s for pair in sides for s in pair if "text" in s or "ids:" in s or "decoded:" in s]
+    want = Counter((i, len(ids := encoder.encode_ordinary(t or "")), sha(",".join(map(str, ids))), sha(t or "")) for i, t in enumerate(texts))
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def test_bpe_query(spark, folder, rows):
     encoder = bpe.codec(bpe.default_ranks(), bpe.default_pattern())[0]
     want = Counter()
