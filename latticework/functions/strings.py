@@ -59,11 +59,16 @@ def external_file_problem(name: Column) -> Column:
     return F.when(name.isNull() | (name == ""), "empty file name").when(F.array_contains(F.split(name, "/"), ".."), "file name leaves its folder").when(F.octet_length(name) > 65535, "file name too long")
 
 
+def in_unit(n: Column, bits: int, digits: int, unit: str) -> Column:
+    """A size in units of 2^bits bytes, its double rounded exactly and halves to the even digit, as C and Go print it; format_string would round halves up."""
+    return F.concat(F.call_function("format_number", n / (1 << bits), F.lit(f"0.{'0' * digits}")), F.lit(f" {unit}"))
+
+
 def readable_bytes(n: Column) -> Column:
-    """A size as B, KB, MB or GB."""
+    """A size as B, KB, MB or GB; null if there is none."""
     return (
-        F.when(n < 1 << 10, F.format_string("%d B", n))
-        .when(n < 1 << 20, F.format_string("%.1f KB", n / (1 << 10)))
-        .when(n < 1 << 30, F.format_string("%.1f MB", n / (1 << 20)))
-        .otherwise(F.format_string("%.2f GB", n / (1 << 30)))
+        F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < 1 << 20, in_unit(n, 10, 1, "KB"))
+        .when(n < 1 << 30, in_unit(n, 20, 1, "MB"))
+        .otherwise(in_unit(n, 30, 2, "GB"))
     )

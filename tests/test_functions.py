@@ -75,6 +75,13 @@ def test_readable_bytes(spark):
         assert one(spark, strings.readable_bytes(F.lit(n).cast("long"))) == s
 
 
+def test_readable_bytes_rounds_halves_to_even(spark):
+    # All but the last are halves; that lies a byte above one.
+    for n, s in [(1280, "1.2 KB"), (1792, "1.8 KB"), (5 << 18, "1.2 MB"), (9 << 27, "1.12 GB"), (11 << 27, "1.38 GB"), ((9 << 27) + 1, "1.13 GB")]:
+        assert one(spark, strings.readable_bytes(F.lit(n).cast("long"))) == s
+    assert one(spark, strings.readable_bytes(F.lit(None).cast("long"))) is None
+
+
 def test_shapes(spark):
     dims = lambda *d: F.array(*[F.lit(x).cast("long") for x in d])
     assert one(spark, shapes.elements(dims(3, 4))) == 12 and one(spark, shapes.elements(F.lit(None).cast("array<bigint>"))) == 0
